@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from titleforge.llm import textvec as tv
 from titleforge.llm.common import packed, sample_by_class, ship, unpacked
-from titleforge.llm.linear import fit_svm
+from titleforge.llm.linear import fit_svm, gram, scaled
 
 FAMILY = {
     **dict.fromkeys(("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "fy", "af", "lb", "yi"), "germanic"),
@@ -23,7 +23,7 @@ FAMILY = {
     **dict.fromkeys(("hi", "bn", "ur", "mr", "ne", "fa"), "indo-iranian"),
     **dict.fromkeys(("zh", "yue"), "sinitic"),
 }
-BITS, SIZES = 14, (2, 3)
+BITS, SIZES = 13, (2, 3)
 UNKNOWN = "und"
 _ID = T.StructType([T.StructField("family", T.StringType()), T.StructField("language", T.StringType()), T.StructField("margin", T.DoubleType())])
 
@@ -56,10 +56,12 @@ class Model:
         families = sorted(set(fam))
         languages = {f: sorted(set(y[fam == f])) for f in families}
         pairs = [p for f in families for p in combinations(languages[f], 2)]
-        fits = [fit_svm(x, np.where(fam == f, 1, -1)) for f in families] if len(families) > 1 else []
-        for a, b in pairs:
-            own = (y == a) | (y == b)
-            fits.append(fit_svm(x[own], np.where(y[own] == a, 1, -1)))
+        z, factor = scaled(x) if n else (x, np.zeros(1 << BITS, dtype=np.float32))
+        k = gram(z)
+        fits = []
+        for positive, own in [(fam == f, np.ones(n, dtype=bool)) for f in families if len(families) > 1] + [(y == a, (y == a) | (y == b)) for a, b in pairs]:
+            alpha, bias = fit_svm(k[np.ix_(own, own)], np.where(positive[own], 1, -1))
+            fits.append(((alpha.astype(np.float32) @ z[own]) * factor, bias))
         return cls(families, languages, pairs, np.array([w for w, _ in fits], dtype=np.float32).reshape(len(fits), 1 << BITS), np.array([b for _, b in fits], dtype=np.float64))
 
     def predict(self, texts: pa.Array) -> tuple[list[str | None], list[str], np.ndarray]:

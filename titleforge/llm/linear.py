@@ -12,56 +12,44 @@ def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x * factor / np.float32(np.sqrt(x.shape[1])), factor / np.float32(np.sqrt(x.shape[1]))
 
 
-def _descend(x, grad, dim, steps, l2, lipschitz):
-    """Nesterov's accelerated gradient; weights and bias."""
-    w = v = np.zeros(dim, dtype=np.float32)
-    b = vb = np.float32(0)
-    t, rate = 1.0, np.float32(1.0 / lipschitz)
+def _descend(k: np.ndarray, slope, steps: int, l2: float, curvature: float) -> tuple[np.ndarray, float]:
+    """Nesterov's accelerated gradient over w = z.T @ alpha, run on the Gram matrix k = z @ z.T; alpha and the bias.
+
+    slope(outputs) is the loss's derivative by each output, curvature a bound of its second derivative times the rows.
+    """
+    n = len(k)
+    u, top = np.ones(n) / np.sqrt(n), 1.0
+    for _ in range(15):
+        x = k @ u / n
+        top = float(np.linalg.norm(x)) or 1.0
+        u = x / top
+    rate = 1.0 / (curvature * (top + 1.0) + l2)
+    a = va = np.zeros(n)
+    b = vb = 0.0
+    t = 1.0
     for _ in range(steps):
-        gw, gb = grad(v, vb)
-        w2, b2 = v - rate * (gw + l2 * v), vb - rate * gb
+        g = slope(k @ va + vb)
+        a2, b2 = va - rate * (g + l2 * va), vb - rate * float(g.sum())
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        k = np.float32((t - 1) / t2)
-        v, vb, w, b, t = w2 + k * (w2 - w), b2 + k * (b2 - b), w2, b2, t2
-    return w, float(b)
+        m = (t - 1) / t2
+        va, vb, a, b, t = a2 + m * (a2 - a), b2 + m * (b2 - b), a2, b2, t2
+    return a, b
 
 
-def _norm(x: np.ndarray) -> float:
-    """Largest eigenvalue of the mean outer product, by power iteration from a fixed start; the bias column included."""
-    v = np.ones(x.shape[1], dtype=np.float32) / np.sqrt(x.shape[1])
-    top = 1.0
-    for _ in range(12):
-        u = x.T @ (x @ v) / len(x)
-        top = float(np.linalg.norm(u)) or 1.0
-        v = u / top
-    return top + 1.0
+def gram(z: np.ndarray) -> np.ndarray:
+    return (z @ z.T).astype(np.float64)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
-    """L2-regularised squared-hinge linear SVM; y is -1 or 1. Returns the weights for unscaled x, and the bias."""
-    z, factor = scaled(x)
-    y = y.astype(np.float32)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * len(y)
+def fit_svm(k: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+    """L2-regularised squared-hinge linear SVM on a Gram matrix; y is -1 or 1. Both classes weigh the same. Returns alpha and the bias."""
+    y = y.astype(np.float64)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    return _descend(k, lambda f: -2 * weight * y * np.maximum(0, 1 - y * f), steps, l2, 2 * float(weight.max()) * len(y))
 
-    def grad(w, b):
-        g = -2 * weight * y * np.maximum(0, 1 - y * (z @ w + b)) / len(y)
-        return z.T @ g, g.sum()
 
-    w, b = _descend(z, grad, x.shape[1], steps, np.float32(l2), 2 * _norm(z) * float(weight.max()) + l2)
-    return w * factor, b
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 200) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression; y in 0..1 (may be soft). Returns the weights for unscaled x, and the bias."""
-    z, factor = scaled(x)
-    y = y.astype(np.float32)
-
-    def grad(w, b):
-        g = (1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30))) - y) / np.float32(len(y))
-        return z.T @ g, g.sum()
-
-    w, b = _descend(z, grad, x.shape[1], steps, np.float32(l2), 0.25 * _norm(z) + l2)
-    return w * factor, b
+def fit_logistic(k: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression on a Gram matrix; y in 0..1. Returns alpha and the bias."""
+    return _descend(k, lambda f: (sigmoid(f) - y) / len(y), steps, l2, 0.25)
 
 
 def platt(score: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:

@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 
 from titleforge.llm import textvec as tv
 from titleforge.llm.common import packed, sample_by_class, ship
-from titleforge.llm.linear import fit_logistic, platt, sigmoid
+from titleforge.llm.linear import fit_logistic, gram, platt, scaled, sigmoid
 
 BITS, SIZES = 13, (2, 3)
+#: Added to a text's number of features, so that the few of a short text move its score less.
+SHRINK = 60
 
 
 def _parts(texts: pa.Array):
@@ -41,10 +43,12 @@ class Model:
             p = (y.sum() + 1) / (len(y) + 2)
             return cls(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), 0.0, (0.0, float(np.log(p / (1 - p)))))
         chars, pairs, n = _parts(pa.array(texts, pa.string()))
-        x = np.concatenate([tv.frequencies(chars, n, BITS), tv.frequencies(pairs, n, BITS)], axis=1)
+        x = np.concatenate([tv.frequencies(chars, n, BITS, SHRINK), tv.frequencies(pairs, n, BITS, SHRINK)], axis=1)
         held = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.ones(len(y), dtype=bool)
         use = ~held if len(y) >= 50 else held
-        w, b = fit_logistic(x[use], y[use])
+        z, factor = scaled(x[use])
+        alpha, b = fit_logistic(gram(z), y[use])
+        w = (alpha.astype(np.float32) @ z) * factor
         a = platt(x[held] @ w + b, y[held])
         return cls(w[: 1 << BITS].copy(), w[1 << BITS :].copy(), b, a)
 
@@ -56,12 +60,12 @@ class Model:
             sums, counts = np.zeros((1, n)), np.zeros(n, dtype=np.int64)
             for p in parts:
                 tv.add_sums(sums, counts, table[None], p)
-            total += sums[0] / np.maximum(counts, 1)
+            total += sums[0] / (counts + SHRINK)
             some |= counts > 0
         return np.where(some, sigmoid(self.scale[0] * total + self.scale[1]), np.nan)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model:
     """Fit on at most per_class labelled documents of each quality, those whose hash of the id is least."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1)).distinct()
     chosen = sample_by_class(known, "y", F.xxhash64("id", F.lit(29)), per_class)  # at most 2 * per_class rows, so it may be broadcast

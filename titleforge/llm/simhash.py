@@ -17,6 +17,8 @@ from titleforge.llm.common import cut, doc_key, key_id, packed, ship, unpacked
 #: Two fingerprints of 128 bits are close if they differ in at most MAX_BITS bits. Then they differ in at most 6 bits in
 #: one half at least, so that half has two equal bytes of its eight: pairs of bytes of a half are the blocks.
 MAX_BITS = 13
+LANE = 60_000
+_LANES = np.array([sum((v >> k & 1) << (16 * k) for k in range(4)) for v in range(16)], dtype=np.uint64)
 _PAIRS = list(combinations(range(8), 2))
 _FP = T.StructType([T.StructField("id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _EDGE = T.StructType([T.StructField(c, T.LongType()) for c in ("a1", "b1", "a2", "b2")])
@@ -32,13 +34,21 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             continue
         key = np.unique((w.doc.astype(np.uint64) << np.uint64(48)) | (w.hash >> np.uint64(16)))
         doc, word = (key >> np.uint64(48)).astype(np.int64), key << np.uint64(16)
-        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        size = np.diff(np.append(starts, len(doc)))
+        # Votes are added up in four 16-bit lanes of a word, so a run has at most LANE words of one document.
+        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        starts = np.flatnonzero(place % LANE == 0)
+        size = np.bincount(doc, minlength=w.d1 - w.d0)
+        some = size > 0
         for half in range(2):
-            bits = np.unpackbits(tv.mix(word + np.uint64(half * 0x632BE59BD9B4E019 + 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            out[w.d0 + doc[starts], half] = np.packbits(votes * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
-        has[w.d0 + doc[starts]] = True
+            x = tv.mix(word + np.uint64(half * 0x632BE59BD9B4E019 + 1))
+            value = np.zeros(w.d1 - w.d0, dtype=np.uint64)
+            for nibble in range(16):
+                lanes = np.add.reduceat(_LANES[((x >> np.uint64(4 * nibble)) & np.uint64(15)).astype(np.int64)], starts)
+                for bit in range(4):
+                    votes = np.bincount(doc[starts], weights=((lanes >> np.uint64(16 * bit)) & np.uint64(0xFFFF)).astype(np.float64), minlength=w.d1 - w.d0)
+                    value |= (votes * 2 > size).astype(np.uint64) << np.uint64(4 * nibble + bit)
+            out[w.d0 : w.d1, half][some] = value[some]
+        has[w.d0 : w.d1] = some
     return out, has
 
 

@@ -58,8 +58,22 @@ def _table(name: str, base: int, n: int) -> np.ndarray:
     return _powers[name]
 
 
-def _words_of(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, ends and raw hashes in one piece of bytes; starts_at: where documents start, which also ends words."""
+class _Spans:
+    """64-bit hashes of byte spans [s, e) of one piece, by prefix sums of a polynomial modulo 2**64."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        size = max(n + 1, 2 * CHUNK)
+        self.down = _table("down", pow(_BASE, -1, 2**64), size)
+        self.prefix = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _table("up", _BASE, size)[:n], out=self.prefix[1:])
+
+    def hash(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return mix((self.prefix[e] - self.prefix[s]) * self.down[s] + (e - s).astype(np.uint64) * _GOLD)
+
+
+def _word_spans(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word starts and ends in one piece of bytes; starts_at: where documents start, which also ends words."""
     n = len(data)
     isw = _IS_WORD[data]
     fresh = np.zeros(n + 1, dtype=bool)
@@ -70,18 +84,7 @@ def _words_of(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.n
     after = np.empty(n, dtype=bool)
     after[-1] = False
     after[:-1] = isw[1:]
-    s = np.flatnonzero(isw & (~before | fresh[:-1]))
-    e = np.flatnonzero(isw & (~after | fresh[1:])) + 1
-    return s, e, span_hash(data, s, e)
-
-
-def span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes in each span [s, e), by prefix sums of a polynomial modulo 2**64."""
-    n = len(data)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _table("up", _BASE, CHUNK * 2 if n <= CHUNK * 2 else n)[:n], out=prefix[1:])
-    down = _table("down", pow(_BASE, -1, 2**64), CHUNK * 2 if n <= CHUNK * 2 else n + 1)
-    return mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64) * _GOLD)
+    return np.flatnonzero(isw & (~before | fresh[:-1])), np.flatnonzero(isw & (~after | fresh[1:])) + 1
 
 
 def _pieces(data: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -117,12 +120,14 @@ def words(data: np.ndarray, offs: np.ndarray, prefixes: tuple[int, ...] = (), li
                 continue
             part = data[lo + a : lo + b]
             at = offs[d0:d1] - lo - a
-            s, e, h = _words_of(part, at[(at >= 0) & (at < b - a)])
+            s, e = _word_spans(part, at[(at >= 0) & (at < b - a)])
+            spans = _Spans(part)
+            h = spans.hash(s, e)
             pre = []
             for k in prefixes:
                 longer = e - s > k
                 x = np.zeros(len(s), dtype=np.uint64)
-                x[longer] = span_hash(part, s[longer], s[longer] + k) ^ np.uint64(k)
+                x[longer] = spans.hash(s[longer], s[longer] + k) ^ np.uint64(k)
                 pre.append(x)
             found.append((s + lo + a, h, pre))
         starts = np.concatenate([f[0] for f in found]) if found else np.zeros(0, dtype=np.int64)
@@ -189,10 +194,10 @@ def add_sums(sums: np.ndarray, counts: np.ndarray, tables: np.ndarray, part: tup
         sums[k, docs] += c[last - 1] - np.where(first > 0, c[np.maximum(first - 1, 0)], 0.0)
 
 
-def frequencies(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n: int, bits: int) -> np.ndarray:
-    """Relative feature frequencies of n documents, as rows of a dense matrix (for bounded training samples)."""
+def frequencies(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n: int, bits: int, shrink: float = 0.0) -> np.ndarray:
+    """Feature counts of n documents over their total plus ``shrink``, as rows of a dense matrix (for bounded training samples)."""
     x = np.zeros((n, 1 << bits), dtype=np.float32)
     for docs, first, last, feature in parts:
         for d, a, b in zip(docs, first, last):
             x[d] += np.bincount(feature[a:b], minlength=1 << bits)
-    return x / np.maximum(1, x.sum(axis=1, keepdims=True))
+    return x / np.maximum(1, x.sum(axis=1, keepdims=True) + shrink)

@@ -26,7 +26,7 @@ LEXICONS: tuple[tuple[str, ...], ...] = (
     ("imbécile", "crétin", "connard", "salaud", "minable", "ordure", "débile"),
     ("imbécil", "estúpido", "estúpida", "basura", "escoria", "payaso", "inútil", "asqueroso"),
 )
-PREFIXES = (4, 5, 6, 7, 8)  # bytes of a word's beginning that pattern voters look at
+PREFIXES = (4, 5, 7)  # bytes of a word's beginning that pattern voters look at
 MINED_WORDS, MINED_PREFIXES = 10, 10
 BITS = 18
 
@@ -52,6 +52,19 @@ def distinct_features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, n
         yield w.d0, w.d1, (key >> np.uint64(48)).astype(np.int64), key & np.uint64(0xFFFFFFFFFFFF)
 
 
+def found_features(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As distinct_features, but only those whose top BITS bits after mixing are ``wanted`` (a bool each), which are few."""
+    data, offs = tv.text_bytes(texts, lower=True)
+    for w in tv.words(data, offs, PREFIXES):
+        keys = []
+        for h in (w.hash, *w.prefix):
+            f = h >> np.uint64(16)
+            at = np.flatnonzero(wanted[(tv.mix(f) >> np.uint64(64 - BITS)).astype(np.int64)] & (h != 0))
+            keys.append(((np.searchsorted(w.offs, at, side="right") - 1).astype(np.uint64) << np.uint64(48)) | f[at])
+        key = np.unique(np.concatenate(keys))
+        yield w.d0, w.d1, (key >> np.uint64(48)).astype(np.int64), key & np.uint64(0xFFFFFFFFFFFF)
+
+
 @dataclass
 class Voters:
     """A sorted array of feature hashes and, of each, the voters it speaks for, as a bit mask."""
@@ -99,7 +112,9 @@ class Voters:
     def votes(self, texts: pa.Array) -> np.ndarray:
         """A bit mask a text: the voters that call it toxic. A voter without a hit votes that it isn't."""
         out = np.zeros(len(texts), dtype=np.int64)
-        for d0, _, doc, f in distinct_features(texts):
+        wanted = np.zeros(1 << BITS, dtype=bool)
+        wanted[(tv.mix(self.feature) >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        for d0, _, doc, f in found_features(texts, wanted):
             at = np.minimum(np.searchsorted(self.feature, f), max(0, len(self.feature) - 1))
             hit = np.flatnonzero(self.feature[at] == f) if len(self.feature) else np.zeros(0, dtype=np.int64)
             np.bitwise_or.at(out, d0 + doc[hit], self.mask[at[hit]])
@@ -170,7 +185,7 @@ class Classifier:
     bias: float
 
     @classmethod
-    def fit(cls, texts: list[str], soft: np.ndarray, l1: float = 4e-4, steps: int = 250) -> "Classifier":
+    def fit(cls, texts: list[str], soft: np.ndarray, l1: float = 4e-4, steps: int = 150) -> "Classifier":
         """Proximal gradient (FISTA) with an L1 penalty: the weight of a word that says nothing is zero, so long texts gather no noise."""
         w, b = np.zeros(1 << BITS), 0.0
         if not len(soft):
@@ -183,7 +198,7 @@ class Classifier:
         n = len(soft)
         used, col = np.unique(feat, return_inverse=True)
         often = np.bincount(col)
-        use = often[col] >= min(3, n)
+        use = often[col] >= min(4, n)
         doc, col = doc[use], col[use]
         scale = 1 / np.sqrt(np.maximum(often, 1))
         vals = scale[col] * np.sqrt(n) / 8
@@ -214,7 +229,7 @@ class Classifier:
 
     def predict(self, texts: pa.Array) -> np.ndarray:
         out = np.full(len(texts), self.bias)
-        for d0, d1, doc, f in distinct_features(texts):
+        for d0, d1, doc, f in found_features(texts, self.weights != 0):
             feat = (tv.mix(f) >> np.uint64(64 - BITS)).astype(np.int64)
             out[d0:d1] += np.bincount(doc, weights=self.weights[feat], minlength=d1 - d0)
         return sigmoid(out)
