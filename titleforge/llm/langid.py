@@ -107,8 +107,12 @@ class Model:
 
 def _has_letters(texts: pa.Array) -> np.ndarray:
     data, offs = tv.text_bytes(texts)
-    letter = np.concatenate([[0], np.cumsum(((data | 0x20) >= 97) & ((data | 0x20) <= 122) | (data >= 128))])
-    return letter[offs[1:]] > letter[offs[:-1]]
+    out = np.zeros(len(offs) - 1, dtype=bool)
+    for d0, d1 in tv.doc_groups(offs):
+        part = data[offs[d0] : offs[d1]]
+        at = np.flatnonzero((((part | 0x20) >= 97) & ((part | 0x20) <= 122)) | (part >= 128)) + offs[d0]
+        out[np.unique(np.searchsorted(offs, at, side="right") - 1)] = True
+    return out
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> Model:

@@ -33,7 +33,7 @@ def text_bytes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:
-        texts = pc.utf8_lower(texts)
+        texts = pc.utf8_lower(texts)  # one code point for one, so the number of characters stays
     _, offsets, data = texts.buffers()
     offs = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)

@@ -52,8 +52,8 @@ def distinct_features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, n
         yield w.d0, w.d1, (key >> np.uint64(48)).astype(np.int64), key & np.uint64(0xFFFFFFFFFFFF)
 
 
-def found_features(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """As distinct_features, but only those whose top BITS bits after mixing are ``wanted`` (a bool each), which are few."""
+def found_features(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[tv.Words, np.ndarray, np.ndarray]]:
+    """(words, document, feature) as distinct_features, but only features whose top BITS bits after mixing are ``wanted`` (a bool each), which are few."""
     data, offs = tv.text_bytes(texts, lower=True)
     for w in tv.words(data, offs, PREFIXES):
         keys = []
@@ -62,7 +62,7 @@ def found_features(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[int, i
             at = np.flatnonzero(wanted[(tv.mix(f) >> np.uint64(64 - BITS)).astype(np.int64)] & (h != 0))
             keys.append(((np.searchsorted(w.offs, at, side="right") - 1).astype(np.uint64) << np.uint64(48)) | f[at])
         key = np.unique(np.concatenate(keys))
-        yield w.d0, w.d1, (key >> np.uint64(48)).astype(np.int64), key & np.uint64(0xFFFFFFFFFFFF)
+        yield w, (key >> np.uint64(48)).astype(np.int64), key & np.uint64(0xFFFFFFFFFFFF)
 
 
 @dataclass
@@ -114,10 +114,10 @@ class Voters:
         out = np.zeros(len(texts), dtype=np.int64)
         wanted = np.zeros(1 << BITS, dtype=bool)
         wanted[(tv.mix(self.feature) >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        for d0, _, doc, f in found_features(texts, wanted):
+        for w, doc, f in found_features(texts, wanted):
             at = np.minimum(np.searchsorted(self.feature, f), max(0, len(self.feature) - 1))
             hit = np.flatnonzero(self.feature[at] == f) if len(self.feature) else np.zeros(0, dtype=np.int64)
-            np.bitwise_or.at(out, d0 + doc[hit], self.mask[at[hit]])
+            np.bitwise_or.at(out, w.d0 + doc[hit], self.mask[at[hit]])
         return out
 
 
@@ -228,11 +228,13 @@ class Classifier:
         return cls(w.astype(np.float32), float(b))
 
     def predict(self, texts: pa.Array) -> np.ndarray:
-        out = np.full(len(texts), self.bias)
-        for d0, d1, doc, f in found_features(texts, self.weights != 0):
+        """The probability that each text is toxic; 0 for a text without a word."""
+        out = np.full(len(texts), -np.inf)
+        for w, doc, f in found_features(texts, self.weights != 0):
             feat = (tv.mix(f) >> np.uint64(64 - BITS)).astype(np.int64)
-            out[d0:d1] += np.bincount(doc, weights=self.weights[feat], minlength=d1 - d0)
-        return sigmoid(out)
+            score = self.bias + np.bincount(doc, weights=self.weights[feat], minlength=w.d1 - w.d0)
+            out[w.d0 : w.d1] = np.where(np.diff(w.offs) > 0, sigmoid(score), 0.0)
+        return out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str], np.ndarray]:
@@ -286,11 +288,7 @@ def score(docs: DataFrame, classifier: Classifier, text_col: str = "text", thres
 
     @F.arrow_udf(T.DoubleType())
     def run(texts: pa.Array) -> pa.Array:
-        some = np.zeros(len(texts), dtype=bool)
-        data, offs = tv.text_bytes(texts)
-        c = np.concatenate([[0], np.cumsum(tv._IS_WORD[data])])
-        some = c[offs[1:]] > c[offs[:-1]]
-        return pa.array(np.where(some, shared.value.predict(texts), 0.0), pa.float64())
+        return pa.array(shared.value.predict(texts), pa.float64())
 
     d = packed(docs, t=F.col(f"`{text_col}`")).select("row", run.asNondeterministic()("t").alias("p_toxic"))
     return d.withColumn("toxic", F.col("p_toxic") >= threshold)
