@@ -77,8 +77,9 @@ class Voters:
     def build(cls, texts: list[str], toxic: np.ndarray, min_docs: int = 4, min_odds: float = 3.0) -> "Voters":
         """The fixed lexicons, and lexicons and prefix patterns mined from a bounded labelled sample.
 
-        A word or prefix is mined if at least min_docs toxic documents have it and its smoothed odds are min_odds or
-        more; those that only toxic documents have are dealt to voters by hash, so that no voter depends on one word.
+        A word or prefix is mined if at least min_docs toxic documents have it, its smoothed odds are min_odds or
+        more, and its G statistic beats the chance of the best of as many features as were looked at. They are dealt
+        to voters by hash, so that no voter depends on one word.
         """
         by: dict[int, int] = {}
         names = [f"lexicon_{k}" for k in range(len(LEXICONS))]
@@ -101,7 +102,9 @@ class Voters:
             at = np.searchsorted(f0, f1)
             clean = np.where((at < len(f0)) & (f0[np.minimum(at, max(0, len(f0) - 1))] == f1), c0[np.minimum(at, max(0, len(f0) - 1))], 0) if len(f0) else np.zeros(len(f1), int)
             odds = np.log((c1 + 0.1) / (n_tox + 1)) - np.log((clean + 0.5) / (len(toxic) - n_tox + 1))
-            for f in f1[(c1 >= min_docs) & (odds >= min_odds)].tolist():
+            share = n_tox / len(toxic)
+            g = c1 * np.log(c1 / ((c1 + clean) * share)) + np.where(clean > 0, clean * np.log(np.maximum(clean, 1) / ((c1 + clean) * (1 - share))), 0)
+            for f in f1[(c1 >= min_docs) & (odds >= min_odds) & (g >= np.log(len(f1)) + 1)].tolist():
                 slot = int(tv.mix(np.array([f], dtype=np.uint64))[0] % np.uint64(10))
                 k = len(LEXICONS) + (slot if f in words else MINED_WORDS + slot)
                 by[f] = by.get(f, 0) | 1 << k
@@ -123,50 +126,55 @@ class Voters:
 
 @dataclass
 class LabelModel:
-    """P(toxic | votes): class-conditional hit rates of each voter, and exponents that discount correlated voters."""
+    """P(toxic | votes): class-conditional hit rates of groups of voters, and exponents that discount correlated groups."""
 
-    rates: np.ndarray  # [2, m]: P(hit | clean), P(hit | toxic)
+    group: np.ndarray  # [m]: the group of each voter; voters that nearly always agree are one group, which hits if any does
+    rates: np.ndarray  # [2, groups]: P(hit | clean), P(hit | toxic)
     prior: float
-    weight: np.ndarray
-    correlation: np.ndarray
+    weight: np.ndarray  # [groups]
+    correlation: np.ndarray  # [m, m], within the classes
 
     @classmethod
-    def fit(cls, masks: np.ndarray, counts: np.ndarray, m: int, steps: int = 100) -> "LabelModel":
-        """EM over the table of vote patterns, three times: each time with the discounts from the correlations left.
+    def fit(cls, masks: np.ndarray, counts: np.ndarray, m: int, rounds: int = 3, same: float = 0.8) -> "LabelModel":
+        """EM over the table of vote patterns, in rounds, each with the correlations that the one before left.
 
-        The start is the majority's: a pattern is toxic by the share of hits. The correlation of two voters is that of
-        their votes within a class, as weighted by the posteriors; a voter's vote counts 1 / (1 + its positive
-        correlations with the others).
+        Correlations of voters are those of their votes within a class, weighted by the posteriors. Voters correlated
+        by ``same`` or more form a group; a group's evidence counts 1 / (1 + its positive correlations with others).
+        Each round starts afresh: two hits, discounted, are likely toxic, one is not.
         """
-        v = ((masks[:, None] >> np.arange(m)) & 1).astype(np.float64)
+        votes = ((masks[:, None] >> np.arange(m)) & 1).astype(np.float64)
         n = counts.astype(np.float64)
-        total = n.sum()
-        corr, weight = np.zeros((m, m)), np.ones(m)
-        if not total or not v.any():
-            return cls(np.full((2, m), 0.5), 0.0, np.zeros(m), corr)
-        p = np.where(v.sum(axis=1) > 0, 1 - 0.5 ** v.sum(axis=1), 0.01)
-        rates, prior = None, 0.1
-        for _ in range(3):
-            for _ in range(steps):
-                w1, w0 = n * p, n * (1 - p)
-                rates = np.stack([(w0 @ v + 0.01) / (w0.sum() + 1), (w1 @ v + 0.5) / (w1.sum() + 1)])
-                rates[1] = np.maximum(rates[1], rates[0])  # a hit never speaks for clean
-                prior = float(np.clip((w1.sum() + 1) / (total + 2), 1e-4, 0.5))
-                q = cls(rates, prior, weight, corr)._posterior(v)
-                done = np.abs(q - p).max() < 1e-6
-                p = q
-                if done:
-                    break
-            corr = np.zeros((m, m))
-            for w in (n * p, n * (1 - p)):
-                mean = (w @ v) / max(w.sum(), 1e-9)
-                dev = v - mean
-                cov = (dev * w[:, None]).T @ dev / max(w.sum(), 1e-9)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                corr += cov / np.outer(sd, sd) * (w.sum() / total)
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.maximum(corr, 0).sum(axis=1))
-        return cls(rates, prior, weight, corr)
+        out = cls(np.arange(m), np.full((2, m), 0.5), 0.0, np.ones(m), np.zeros((m, m)))
+        if not n.sum() or not votes.any():
+            return cls(out.group, out.rates, 0.0, np.zeros(m), out.correlation)
+        for _ in range(rounds):
+            p = out._em(votes, n)
+            last, corr = out, _correlations(votes, n, p)
+            group = _linked(corr >= same)
+            g = group.max() + 1
+            own = _correlations(last._grouped(votes, group), n, p)
+            out = cls(group, np.full((2, g), 0.5), 0.1, 1 / (1 + np.maximum(own, 0).sum(axis=1)), corr)
+        out._em(votes, n)
+        return out
+
+    @staticmethod
+    def _grouped(votes: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return np.stack([votes[:, group == k].max(axis=1) for k in range(group.max() + 1)], axis=1)
+
+    def _em(self, votes: np.ndarray, n: np.ndarray, steps: int = 100) -> np.ndarray:
+        """Set rates and prior; the posterior of each pattern."""
+        v = self._grouped(votes, self.group)
+        p = np.where(v.any(axis=1), sigmoid(3 * (v @ self.weight - 1.5)), 0.001)
+        for _ in range(steps):
+            w1, w0 = n * p, n * (1 - p)
+            self.rates = np.stack([(w0 @ v + 0.01) / (w0.sum() + 1), (w1 @ v + 0.5) / (w1.sum() + 1)])
+            self.rates[1] = np.maximum(self.rates[1], self.rates[0])  # a hit never speaks for clean
+            self.prior = float(np.clip((w1.sum() + 1) / (n.sum() + 2), 1e-4, 0.5))
+            q = self._posterior(v)
+            done, p = np.abs(q - p).max() < 1e-6, q
+            if done:
+                break
+        return p
 
     def _posterior(self, v: np.ndarray) -> np.ndarray:
         r0, r1 = np.clip(self.rates, 1e-6, 1 - 1e-6)
@@ -174,7 +182,27 @@ class LabelModel:
         return sigmoid(np.log(max(self.prior, 1e-9) / (1 - min(self.prior, 1 - 1e-9))) + v @ hit + (1 - v) @ miss)
 
     def posterior(self, masks: np.ndarray) -> np.ndarray:
-        return self._posterior(((masks[:, None] >> np.arange(self.rates.shape[1])) & 1).astype(np.float64))
+        return self._posterior(self._grouped(((masks[:, None] >> np.arange(len(self.group))) & 1).astype(np.float64), self.group))
+
+
+def _correlations(v: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Of the columns of v within the two classes, averaged by the classes' weights."""
+    corr = np.zeros((v.shape[1], v.shape[1]))
+    for w in (n * p, n * (1 - p)):
+        dev = v - (w @ v) / max(w.sum(), 1e-9)
+        cov = (dev * w[:, None]).T @ dev / max(w.sum(), 1e-9)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        corr += cov / np.outer(sd, sd) * (w.sum() / n.sum())
+    np.fill_diagonal(corr, 0)
+    return corr
+
+
+def _linked(near: np.ndarray) -> np.ndarray:
+    """Numbers of the connected groups of a symmetric relation."""
+    group = np.arange(len(near))
+    for _ in range(len(near)):
+        group = np.minimum(group, np.where(near, group[None, :], len(near)).min(axis=1))
+    return np.unique(group, return_inverse=True)[1]
 
 
 @dataclass
