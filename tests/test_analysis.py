@@ -26,9 +26,11 @@ def test_parse_type():
         NgramType.parse("Window")
 
 
-def test_term_counts_and_null(spark):
-    got = spark.createDataFrame([("aaaa",), (None,)], "t string").select(A.term_counts(A.window_ngrams(F.col("t"), 2)).alias("c")).collect()
-    assert [tuple(x) for x in got[0]["c"]] == [("aa", 3)] and got[1]["c"] is None
+def test_counted_and_null(spark):
+    d = spark.createDataFrame([(1, "aaaab"), (2, None), (3, "")], "k int, t string")
+    got = {r["k"]: (r["length"], [tuple(x) for x in r["counts"]]) for r in A.counted(d, A.window_ngrams(F.col("t"), 2), ["k"]).collect()}
+    assert got == {1: (4, [("aa", 3), ("ab", 1)]), 2: (0, []), 3: (0, [])}
+    assert d.select(A.window_ngrams(F.col("t"), 2).isNull()).collect()[1][0]
 
 
 def test_patterns(spark):

@@ -6,7 +6,7 @@ import re
 from enum import Enum
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titleforge.errors import ConfigError, UnknownNgramType
@@ -41,7 +41,7 @@ def window_ngrams(text: Column, n: int) -> Column:
     if n <= 0:
         return F.when(text.isNotNull(), none)
     last = F.greatest(F.lit(1), F.char_length(text) - (n - 1))
-    return F.when(F.char_length(text) == 0, none).otherwise(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n))))
+    return F.when(F.char_length(text) == 0, none).when(text.isNotNull(), F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n))))
 
 
 def edge_ngrams(text: Column, longest: int) -> Column:
@@ -60,9 +60,17 @@ def ngrams(text: Column, kind: NgramType, n: int) -> Column:
     return window_ngrams(text, n) if kind is NgramType.WINDOW else edge_ngrams(text, n)
 
 
-def term_counts(grams: Column) -> Column:
-    """array<struct<term, tf>>: each distinct gram with its count, within the row, so that counting needs no shuffle."""
-    return F.transform(F.array_distinct(grams), lambda t: F.struct(t.alias("term"), F.size(F.filter(grams, lambda g: g == t)).alias("tf")))
+def counted(rows: DataFrame, grams: Column, keep: list[str]) -> DataFrame:
+    """keep, ``length`` (the number of grams) and ``counts``: array<struct<term, tf>> of the distinct grams.
+
+    Counting sorts the grams within the row and compares neighbours, so it needs no shuffle and about linear time.
+    Each step is a projection of its own: what a lambda uses is then computed once a row.
+    """
+    d = rows.select(*keep, F.sort_array(F.coalesce(grams, F.array().cast("array<string>"))).alias("g"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: (i == 0) | (F.get("g", i) != F.get("g", i - 1)))
+    d = d.select(*keep, "g", F.when(F.size("g") > 0, starts).otherwise(F.array().cast("array<int>")).alias("p"))
+    runs = F.transform("p", lambda i, k: F.struct(F.get("g", i).alias("term"), (F.coalesce(F.get("p", k + 1), F.size("g")) - i).alias("tf")))
+    return d.select(*keep, F.size("g").alias("length"), runs.alias("counts"))
 
 
 def clean_query_name(name: Column) -> Column:

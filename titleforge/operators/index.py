@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleforge.errors import ConfigError, CorruptIndex, VersionMismatch
-from titleforge.functions.analysis import MAX_LENGTH, MAX_TF, NgramType, ngrams, normalize, term_counts
+from titleforge.functions.analysis import MAX_LENGTH, MAX_TF, NgramType, counted, ngrams, normalize
 
 VERSION = 1
 
@@ -32,8 +32,9 @@ def title_names(titles: DataFrame, akas: DataFrame | None = None, include_adult:
 
 def counted_names(names: DataFrame, ngram: NgramType, size: int) -> DataFrame:
     """(id, variant, doc_len, counts) of each name; counts are its distinct grams with their frequencies."""
-    grams = F.coalesce(ngrams(normalize(F.col("name")), ngram, size), F.array().cast("array<string>"))
-    return names.select("id", "variant", grams.alias("grams")).select("id", "variant", F.least(F.size("grams"), F.lit(MAX_LENGTH)).alias("doc_len"), term_counts(F.col("grams")).alias("counts"))
+    lowered = names.select("id", "variant", normalize(F.col("name")).alias("text"))
+    d = counted(lowered, ngrams(F.col("text"), ngram, size), ["id", "variant"])
+    return d.select("id", "variant", F.least("length", F.lit(MAX_LENGTH)).alias("doc_len"), "counts")
 
 
 @dataclass
@@ -54,7 +55,8 @@ class NameIndex:
             raise ConfigError("the ngram size must be at least 1")
         docs = counted_names(names, ngram, size)
         n, avgdl = docs.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
-        postings = docs.select("id", "variant", "doc_len", F.explode("counts").alias("c")).select(F.col("c.term").alias("term"), "id", "variant", "doc_len", F.least("c.tf", F.lit(MAX_TF)).alias("tf"))
+        # explode would infer a filter on the array and push it, written out in full, below the projections that count.
+        postings = docs.select("id", "variant", "doc_len", F.explode_outer("counts").alias("c")).filter("c is not null").select(F.col("c.term").alias("term"), "id", "variant", "doc_len", F.least("c.tf", F.lit(MAX_TF)).alias("tf"))
         return cls(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, float(avgdl or 0.0), ngram, size)
 
     def save(self, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from titleforge.functions.analysis import ngrams, normalize, term_counts
+from titleforge.functions.analysis import counted, ngrams, normalize
 from titleforge.functions.scoring import Scorer, finish, term_score, term_weight
 from titleforge.functions.similarity import Similarity, similarity
 from titleforge.operators.index import NameIndex
@@ -34,8 +34,9 @@ def small(df: DataFrame, rows: int | None) -> DataFrame:
 
 def query_terms(names: DataFrame, index: NameIndex) -> DataFrame:
     """(qid, ql, term, qc): the distinct grams of each query's name; ql counts all of them, with repeats."""
-    g = names.select("qid", F.coalesce(ngrams(normalize(F.col("name")), index.ngram, index.size), F.array().cast("array<string>")).alias("g"))
-    return g.select("qid", F.size("g").alias("ql"), F.explode(term_counts(F.col("g"))).alias("t")).select("qid", "ql", F.col("t.term").alias("term"), F.col("t.tf").alias("qc"))
+    lowered = names.select("qid", normalize(F.col("name")).alias("text"))
+    g = counted(lowered, ngrams(F.col("text"), index.ngram, index.size), ["qid"])
+    return g.select("qid", F.col("length").alias("ql"), F.explode_outer("counts").alias("t")).filter("t is not null").select("qid", "ql", F.col("t.term").alias("term"), F.col("t.tf").alias("qc"))
 
 
 def split_terms(terms: DataFrame, index: NameIndex, stop_ratio: float, known: int | None = None) -> DataFrame:
