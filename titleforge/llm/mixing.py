@@ -59,7 +59,7 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], b
                 fixed = np.bincount(idx, weights=np.where(full, w, 0), minlength=len(want))
                 free = np.bincount(idx, weights=np.where(full, 0, w), minlength=len(want))
                 over = fixed + free > want
-                factor = np.where(over, want / np.maximum(fixed + free, 1e-300), np.maximum(0, want - fixed) / np.maximum(free, 1e-300))
+                factor = np.where(over, want / np.maximum(fixed + free, 1e-9), np.where(free > 0, np.maximum(0, want - fixed) / np.maximum(free, 1e-9), 1))
                 before = w
                 w = np.minimum(have, np.where(over[idx] | ~full, w * factor[idx], w))
                 if np.abs(w - before).max() <= 1e-9 * budget:
