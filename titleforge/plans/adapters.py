@@ -14,21 +14,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores (a small file of one row group), dealt out to all of them; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     kind = F.when(F.col("lang") == "en", "movie").when(F.col("lang") == "de", "tvSeries").when(F.col("lang") == "fr", "tvEpisode").otherwise("short")
     year = F.when(F.col("doc_id") % 10 != 9, (1900 + F.col("n_chars") % 120).cast("int"))
-    return d.select(
+    named = d.select(
         F.concat(F.lit("d"), "doc_id").alias("id"), kind.alias("kind"), F.substring("text", 1, 40).alias("title"), F.substring("text", 41, 40).alias("original_title"),
         (F.col("doc_id") % 50 == 49).alias("is_adult"), year.alias("start_year"), F.when(F.col("lang") == "de", year + 5).alias("end_year"), (F.col("n_chars") % 200).cast("int").alias("runtime_minutes"), F.col("source").alias("genres"),
     )
+    return spread(named)
 
 
 def akas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One or two alternate names of every third document."""
     d = read(spark, sf_dir, "documents").filter("doc_id % 3 = 0")
     slices = F.array(F.struct(F.lit(1).alias("ordering"), F.substring("text", 81, 30).alias("title")), F.struct(F.lit(2).alias("ordering"), F.substring("text", 111, 30).alias("title")))
-    return d.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.explode(slices).alias("s"), F.col("lang").alias("region")).select("id", "s.ordering", "s.title", "region", F.lit(None).cast("string").alias("language")).filter("title <> ''")
+    return spread(d.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.explode(slices).alias("s"), F.col("lang").alias("region"))).select("id", "s.ordering", "s.title", "region", F.lit(None).cast("string").alias("language")).filter("title <> ''")
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
