@@ -25,8 +25,9 @@ def test_tie_ranks(spark):
 
 
 def test_specs():
-    assert str(E.Spec()) == "size-30_ngram-3_ngram-type-window_sim-none_scorer-okapibm25"
-    assert str(E.Spec(1, 2, NgramType.EDGE, Similarity.JARO, None)) == "size-1_ngram-2_ngram-type-edge_sim-jaro_scorer-none"
+    named = lambda *v: "_".join(f"{k}-{x}" for k, x in zip(("size", "ngram", "ngram-type", "sim", "scorer"), v))
+    assert str(E.Spec()) == named(30, 3, "window", "none", "okapibm25")
+    assert str(E.Spec(1, 2, NgramType.EDGE, Similarity.JARO, None)) == named(1, 2, "edge", "jaro", "none")
     assert len(E.grid()) == 16
     for bad in ({"result_size": 0}, {"ngram_size": 1}):
         with pytest.raises(ConfigError):
@@ -79,8 +80,8 @@ def paths(spark, *names):
 
 
 def test_candidates(spark):
-    got = {r["base"]: r for r in L.candidates(paths(spark, "/m/S18E01.mkv", "/m/Thor.Ragnarok.2017.1080p.WEB-DL.DD5.1.H264-FGT.mkv", "English.srt", "/m/noext")).collect()}
-    e, a, u = got["S18E01.mkv"], got["Thor.Ragnarok.2017.1080p.WEB-DL.DD5.1.H264-FGT.mkv"], got["English.srt"]
+    got = {r["base"]: r for r in L.candidates(paths(spark, "/m/S18E01.mkv", "/m/Thor.Ragnarok.2017.720p.x264.mkv", "English.srt", "/m/noext")).collect()}
+    e, a, u = got["S18E01.mkv"], got["Thor.Ragnarok.2017.720p.x264.mkv"], got["English.srt"]
     assert (e["form"], e["name"], e["season"], e["episode"], e["ext"], e["parent"]) == ("episode", "", 18, 1, "mkv", "/m")
     assert (a["form"], a["raw_title"], a["name"], a["year"], a["ext"]) == ("any", "Thor.Ragnarok.", "Thor Ragnarok", 2017, "mkv")
     assert (u["form"], u["parent"], u["name"]) == ("unknown", "", None) and got["noext"]["ext"] is None

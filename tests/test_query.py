@@ -30,7 +30,8 @@ def test_ranges():
 
 def test_print_round_trip():
     q = Query().named("foo bar baz").kind("tvSeries").kind("movie").sized(31).similar(Similarity.JARO).at_least(season=4).at_most(season=5)
-    assert str(q) == "{scorer:okapibm25} {sim:jaro} {size:31} {movie} {tvSeries} {season:4-5} foo bar baz"
+    parts = ["scorer:okapibm25", "sim:jaro", "size:31", "movie", "tvSeries", "season:4-5"]
+    assert str(q) == " ".join("{" + p + "}" for p in parts) + " foo bar baz"
     assert str(Query.parse(str(q))) == str(q) == q.to_json()
 
 

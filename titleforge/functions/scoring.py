@@ -32,7 +32,7 @@ class Scorer(str, Enum):
 def term_weight(scorer: Scorer, df: Column, n: float) -> Column:
     """What depends on the query term alone, to be worked out before the join with the postings."""
     if scorer is Scorer.OKAPI_BM25:
-        return F.log2(F.lit(1.0) + (F.lit(float(n)) - df + 0.5) / (df + 0.5))
+        return F.log2(F.lit(n + 1.0) / (df + 0.5))  # 1 plus the odds of not having the term, each count raised by a half
     if scorer is Scorer.TFIDF:
         return F.log2(F.lit(float(n)) / (F.lit(1.0) + df))
     return F.lit(1.0)

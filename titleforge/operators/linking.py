@@ -15,9 +15,9 @@ from titleforge.functions.scoring import Scorer
 from titleforge.operators.search import PARAMS, Catalog, Need, search_by_name
 from titleforge.schema import KINDS, SERIES
 
-RE_SEASON = r"[Ss](?P<season>[0-9]{2})"
-RE_EPISODE = r"[Ee](?P<episode>[0-9]{2})"
-RE_YEAR = r"\b(?P<year>[0-9]{4})\b"
+RE_SEASON = r"(?:s|S)(?P<season>\d\d)"
+RE_EPISODE = r"(?:e|E)(?P<episode>\d\d)"
+RE_YEAR = r"\b(?P<year>\d\d\d\d)\b"
 ANY_KINDS = tuple(k for k in KINDS if k not in ("tvEpisode", "videoGame"))
 
 

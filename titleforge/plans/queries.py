@@ -41,7 +41,7 @@ def _names(scorer: Scorer, stop: float = 0.01, dedup: str = "best", ngram: Ngram
 
 
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(TEXTS.items()))
-_TERM = {Scorer.OKAPI_BM25: ("log2(1 + (n - df + 0.5) / (df + 0.5))", "greatest(0, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 / avgdl * dl)) * w)"), Scorer.TFIDF: ("log2(n / (1 + df))", "tf * w"), Scorer.JACCARD: ("1.0", "1.0"), Scorer.QUERY_RATIO: ("1.0", "1.0")}
+_TERM = {Scorer.OKAPI_BM25: ("log2((n + 1) / (df + 0.5))", "greatest(0, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 / avgdl * dl)) * w)"), Scorer.TFIDF: ("log2(n / (1 + df))", "tf * w"), Scorer.JACCARD: ("1.0", "1.0"), Scorer.QUERY_RATIO: ("1.0", "1.0")}
 _PART = {Scorer.OKAPI_BM25: "{0}", Scorer.TFIDF: "{0}", Scorer.JACCARD: "{0} / (ql + dl - {0})", Scorer.QUERY_RATIO: "{0} / ql"}
 
 
@@ -171,7 +171,7 @@ _SQL_PATHS = """p AS (
     WHEN 1 THEN format('{}.{}.DVDRip.avi', t, 1900 + n_chars % 120) ELSE t || '.srt' END AS path
   FROM (SELECT doc_id, n_chars, regexp_replace(substring(text, 1, 24), '[^A-Za-z]+', '.', 'g') AS t FROM documents)),
 b AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS base FROM p),
-m AS (SELECT *, nullif(regexp_extract(base, '[Ss]([0-9]{2})', 1), '') AS s, nullif(regexp_extract(base, '[Ee]([0-9]{2})', 1), '') AS e, nullif(regexp_extract(base, '\\b([0-9]{4})\\b', 1), '') AS y FROM b),
+m AS (SELECT *, nullif(regexp_extract(base, '[Ss]([0-9][0-9])', 1), '') AS s, nullif(regexp_extract(base, '[Ee]([0-9]{2})', 1), '') AS e, nullif(regexp_extract(base, '\\b([0-9]{4})\\b', 1), '') AS y FROM b),
 c AS (
   SELECT path, regexp_extract(base, '\\.([^.]*)$', 1) AS ext, CASE WHEN s IS NOT NULL AND e IS NOT NULL THEN 'episode' WHEN y IS NOT NULL THEN 'any' ELSE 'unknown' END AS form,
          CASE WHEN s IS NOT NULL AND e IS NOT NULL THEN regexp_extract(base, '^(.*?)[Ss][0-9]{2}', 1) WHEN y IS NOT NULL THEN regexp_extract(base, '^(.*?)\\b[0-9]{4}\\b', 1) END AS raw,

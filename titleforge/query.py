@@ -11,7 +11,7 @@ from titleforge.functions.similarity import Similarity
 from titleforge.schema import KIND_BY_NAME, parse_kind
 
 MAX_SIZE_DEFAULT, CANDIDATES, STOP_RATIO = 30, 1000, 0.01
-_TOKEN = re.compile(r"\{(?P<directive>[^{}]+)\}|(?P<term>[^{}\s]+)|(?P<space>\s+)|.", re.S)
+_TOKEN = re.compile(r"[{](?P<directive>[^{}]+)[}]|(?P<term>(?:(?![{}\s]).)+)", re.S)  # what neither matches is skipped
 
 
 @dataclass(frozen=True)
