@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from titleforge.llm import chatfmt, decontam, hostrank, langid, linededup, mixing, quality, simhash, toxicity, warc
-from titleforge.llm.common import unpacked
+from titleforge.llm.common import count_words, ship
 from titleforge.llm.queries import queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -296,6 +296,13 @@ def test_rake_meets_its_targets():
     assert hard[("a", "x", "t")] <= 10
 
 
+def test_count_words(spark):
+    d = spark.createDataFrame([("",), (None,), (" a",), ("a b\n\tc ",), ("é  ç\r\x0b",), (" ",), ("x",), ("no\u00a0break",)], "text string")
+    ship(spark)
+    got = d.select(count_words(F.col("text")), F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))).collect()
+    assert [r[0] for r in got] == [r[1] for r in got] == [0, 0, 1, 3, 2, 0, 1, 1]
+
+
 def test_mix(spark):
     rng = random.Random(9)
     rows = [(k, text_in("en", rng, rng.choice([20, 200])), rng.choice(["en", "de", None]), "big" if k % 3 else f"small{k % 2}") for k in range(4000)] + ODD
@@ -392,4 +399,3 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_queries_are_ten():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
-    assert unpacked is not None

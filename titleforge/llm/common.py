@@ -7,11 +7,15 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from titleforge.llm.textvec import doc_groups, text_bytes
+
 _HIGH = 2**63 - 1
 
 
@@ -76,7 +80,24 @@ def key_id(key: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+    """Runs of characters other than blanks, 0 for null. An Arrow batch takes a quarter of what a regular expression takes in the JVM."""
+
+    @F.arrow_udf(T.LongType())
+    def run(texts: pa.Array) -> pa.Array:
+        data, offs = text_bytes(texts)
+        out = np.zeros(len(offs) - 1, dtype=np.int64)
+        for d0, d1 in doc_groups(offs):
+            part = data[offs[d0] : offs[d1]]
+            blank = (part == 32) | ((part >= 9) & (part <= 13))
+            begins = ~blank
+            begins[1:] &= blank[:-1]
+            own = offs[d0 : d1 + 1] - offs[d0]
+            heads = own[:-1][own[:-1] < own[1:]]  # a text's first character begins a word whatever is before it
+            begins[heads] = ~blank[heads]
+            out[d0:d1] = np.diff(np.searchsorted(np.flatnonzero(begins), own))
+        return pa.array(out, pa.int64())
+
+    return run.asNondeterministic()(text)  # else filters below it would run it once more
 
 
 def sample_by_class(rows: DataFrame, label: str, order: Column, per_class: int) -> DataFrame:

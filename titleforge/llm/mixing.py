@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import count_words, cut, packed, unpacked
+from titleforge.llm.common import count_words, cut, packed, ship
 
 AXES = ("source", "lang", "topic")
 OTHER, NONE = "(other)", "(none)"
@@ -84,10 +84,10 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, top
     table gives an empty table.
     """
     targets = targets or {}
-    text = F.col("text")
-    words = count_words(text)
+    ship(docs.sparkSession)
+    text, words = F.col("text"), F.col("n")
     axis = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": F.coalesce(topic if topic is not None else topic_of(text, words), F.lit(NONE))}
-    raw = cut(docs.select(*[axis[a].alias(a) for a in AXES], words.alias("n")).groupBy(*AXES).agg(F.sum("n").alias("n")))
+    raw = cut(docs.select("source", "lang", "text", count_words(text).alias("n")).select(*[axis[a].alias(a) for a in AXES], "n").groupBy(*AXES).agg(F.sum("n").alias("n")))
     kept = {a: [r[0] for r in raw.groupBy(a).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), a).limit(max_categories).collect()] for a in AXES}
     fold = lambda a, c: F.when(c.isin(kept[a]), c).otherwise(F.lit(OTHER)) if kept[a] else c
     cells = {tuple(r[:3]): float(r[3]) for r in raw.select(*[fold(a, F.col(a)).alias(a) for a in AXES], "n").groupBy(*AXES).agg(F.sum("n").alias("n")).collect()}
@@ -100,7 +100,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, top
     weights = rake(cells, goals, keep * sum(cells.values()))
     table = docs.sparkSession.createDataFrame([(*k, w / cells[k]) for k, w in weights.items()], "c_source string, c_lang string, c_topic string, probability double")
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    d = packed(docs, **{f"c_{a}": fold(a, axis[a]) for a in AXES}, n_tokens=words.cast("long"), u=u).filter(F.col("n_tokens") > 0)
+    d = packed(docs, n=count_words(text), u=u, text=text, source=F.col("source"), lang=F.col("lang"))
+    d = d.select("row", "u", F.col("n").alias("n_tokens"), *[fold(a, axis[a]).alias(f"c_{a}") for a in AXES]).filter("n_tokens > 0")
     return d.join(F.broadcast(table), [f"c_{a}" for a in AXES]).filter(F.col("u") < F.col("probability")).select("row", F.col("c_topic").alias("topic"), "n_tokens", "probability")
 
 
