@@ -69,12 +69,13 @@ def test_block_edges_join_what_brute_force_joins():
         base = rng.integers(0, 1 << 63, size=(6, 2)).astype(np.uint64)
         fp = np.repeat(base, 40, axis=0)
         for r in fp:
-            for bit in rng.choice(128, size=rng.integers(0, 9), replace=False):
+            for bit in rng.choice(128, size=rng.integers(0, 12), replace=False):
                 r[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
         fp = np.unique(fp, axis=0)
         close = {(tuple(x), tuple(y)) for i, x in enumerate(fp) for y in fp[i + 1 :] if sum(int(v).bit_count() for v in x ^ y) <= simhash.MAX_BITS}
         keys = [(t, half, i, j) for t, (half, (i, j)) in enumerate((h, p) for h in range(2) for p in simhash._PAIRS)]
-        rows = sorted(((t << 16) | (int(r[half]) >> 8 * i & 255) * 256 | (int(r[half]) >> 8 * j & 255), int(r[0]), int(r[1])) for r in fp for t, half, i, j in keys)
+        piece = lambda x, i: x >> simhash._PIECES[i][0] & simhash._PIECES[i][1]
+        rows = sorted(((t << simhash.KEY_BITS) | piece(int(r[half]), i) * 128 | piece(int(r[half]), j), int(r[0]), int(r[1])) for r in fp for t, half, i, j in keys)
         e = simhash.block_edges(*(np.array(c, dtype=np.int64 if k == 0 else np.uint64) for k, c in enumerate(zip(*rows))))
         simhash.SMALL = keep
         e = np.concatenate(e, axis=1)

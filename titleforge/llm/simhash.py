@@ -14,12 +14,15 @@ from pyspark.sql import types as T
 from titleforge.llm import textvec as tv
 from titleforge.llm.common import cut, doc_key, key_id, packed, ship, unpacked
 
-#: Two fingerprints of 128 bits are close if they differ in at most MAX_BITS bits. Then they differ in at most 6 bits in
-#: one half at least, so that half has two equal bytes of its eight: pairs of bytes of a half are the blocks.
-MAX_BITS = 13
+#: Two fingerprints of 128 bits are close if they differ in at most MAX_BITS bits. Then one half at least differs in at
+#: most 8, which touch at most 8 of its 10 pieces: pairs of pieces of a half are the blocks.
+MAX_BITS = 17
 LANE = 60_000
 _LANES = np.array([sum((v >> k & 1) << (16 * k) for k in range(4)) for v in range(16)], dtype=np.uint64)
-_PAIRS = list(combinations(range(8), 2))
+_CUTS = (0, 7, 14, 21, 28, 34, 40, 46, 52, 58, 64)
+_PIECES = [(lo, (1 << (hi - lo)) - 1) for lo, hi in zip(_CUTS, _CUTS[1:])]
+_PAIRS = list(combinations(range(len(_PIECES)), 2))
+KEY_BITS = 14
 _FP = T.StructType([T.StructField("id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _EDGE = T.StructType([T.StructField(c, T.LongType()) for c in ("a1", "b1", "a2", "b2")])
 
@@ -59,19 +62,22 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), a, b], ["id", "th", "a", "b"])
 
 
-def _equal_bytes(x: np.ndarray) -> np.ndarray:
-    """A bit mask of the zero bytes of each word."""
-    return np.packbits(x.view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little").reshape(-1)
+def _equal_pieces(x: np.ndarray) -> np.ndarray:
+    """A bit mask of the pieces of each word that are zero."""
+    mask = np.zeros(len(x), dtype=np.int64)
+    for k, (lo, m) in enumerate(_PIECES):
+        mask |= (((x >> np.uint64(lo)) & np.uint64(m)) == 0).astype(np.int64) << k
+    return mask
 
 
-#: By mask of equal bytes: the first pair of equal bytes, 28 if there is none.
-_FIRST = np.array([next((t for t, (i, j) in enumerate(_PAIRS) if m >> i & 1 and m >> j & 1), len(_PAIRS)) for m in range(256)])
+#: By mask of equal pieces: the first pair of equal pieces, the number of pairs if there is none.
+_FIRST = np.array([next((t for t, (i, j) in enumerate(_PAIRS) if m >> i & 1 and m >> j & 1), len(_PAIRS)) for m in range(1 << len(_PIECES))])
 
 
 def _first_table(xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
-    """The first of the 56 block tables in which a pair meets, by the differences of its halves."""
-    t = _FIRST[_equal_bytes(xa)]
-    return np.where(t < len(_PAIRS), t, len(_PAIRS) + _FIRST[_equal_bytes(xb)])
+    """The first of the 90 block tables in which a pair meets, by the differences of its halves."""
+    t = _FIRST[_equal_pieces(xa)]
+    return np.where(t < len(_PAIRS), t, len(_PAIRS) + _FIRST[_equal_pieces(xb)])
 
 
 SMALL = 256
@@ -90,7 +96,7 @@ def block_edges(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarra
         xa, xb = a[rows] ^ a[rows + d], b[rows] ^ b[rows + d]
         hit = np.flatnonzero(np.bitwise_count(xa).astype(np.int16) + np.bitwise_count(xb) <= MAX_BITS)
         if len(hit):
-            hit = hit[_first_table(xa[hit], xb[hit]) == key[rows[hit]] >> 16]  # else the pair is found in another table
+            hit = hit[_first_table(xa[hit], xb[hit]) == key[rows[hit]] >> KEY_BITS]  # else the pair is found in another table
             i, j = rows[hit], rows[hit] + d
             edges.append(np.stack([a[i], b[i], a[j], b[j]]))
         d += 1
@@ -168,8 +174,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(key, n, kept, n_group) of every distinct (doc_id, text): its number of rows, the key that stays of its group, the group's rows.
 
     Groups are the connected components of "fingerprints differ in at most MAX_BITS of 128 bits"; equal fingerprints
-    are one node, whatever their number. Of a group, the lowest doc_id stays. Every fingerprint is in the 56 block
-    tables of 16-bit keys; blocks of up to SMALL fingerprints give all their close pairs, once each; larger ones a
+    are one node, whatever their number. Of a group, the lowest doc_id stays. Every fingerprint is in the 90 block
+    tables of 12 to 14-bit keys; blocks of up to SMALL fingerprints give all their close pairs, once each; larger ones a
     spanning forest, which joins the same groups without a pair for every two of thousands of copies. Nothing is capped.
     Only ids, hashes and fingerprints are shuffled, never texts.
 
@@ -183,8 +189,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(fp.groupBy("a", "b", "id", "th").agg(F.count(F.lit(1)).alias("n")))
     node = F.when(F.col("a").isNotNull(), F.struct("a", "b"))
     distinct = rows.filter(F.col("a").isNotNull()).select("a", "b").distinct()
-    byte = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255)).cast("int")
-    keys = [F.lit((half * len(_PAIRS) + t) << 16) + byte(c, i) * 256 + byte(c, j) for half, c in enumerate("ab") for t, (i, j) in enumerate(_PAIRS)]
+    piece = lambda c, i: F.shiftrightunsigned(c, _PIECES[i][0]).bitwiseAND(F.lit(_PIECES[i][1])).cast("int")
+    keys = [F.lit((half * len(_PAIRS) + t) << KEY_BITS) + piece(c, i) * 128 + piece(c, j) for half, c in enumerate("ab") for t, (i, j) in enumerate(_PAIRS)]
     blocks = distinct.select(F.explode(F.array(*keys)).alias("key"), "a", "b").repartition("key").sortWithinPartitions("key")
     edges = blocks.mapInArrow(_edge_batches, _EDGE).select(F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")).alias("u"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")).alias("v"))
     roots = components(edges).select(F.col("u.a").alias("ra"), F.col("u.b").alias("rb"), "root")
