@@ -347,6 +347,15 @@ def test_host_scores_are_those_of_power_iteration(spark):
     assert hostrank.filter_urls(d, (), ()).filter("keep").count() == 7 and hostrank.filter_urls(d.limit(0)).count() == 0
 
 
+def test_a_hub_of_blocked_hosts_hides_none(spark):
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    many = [f"casino-{k}.com" for k in range(300)]
+    pages = [("hub.com", "".join(map(link, many))), ("fan.net", link("poker-x.net")), ("poker-x.net", ""), ("plain.net", ""), ("school.edu", link("bet-y.com")), ("bet-y.com", "")] + [(h, "") for h in many]
+    d = spark.createDataFrame([(k, f"http://{h}/", t) for k, (h, t) in enumerate(pages)], "page_id long, url string, html string")
+    kept = {r["host"] for r in hostrank.filter_urls(d).filter("keep").collect()}
+    assert kept & {"hub.com", "fan.net", "poker-x.net", "bet-y.com", *many} == set() and "plain.net" in kept
+
+
 # --- 5: WARC
 def read_warc(path):
     """(headers, block) of each record, by the format alone."""

@@ -39,13 +39,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(up.select(F.col("h").alias("src"), F.col("p").alias("dst"), F.lit(1).cast("long").alias("n"))).unionByName(up.select(F.col("p").alias("src"), F.col("h").alias("dst"), F.lit(1).cast("long").alias("n"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def host_scores(pages: DataFrame, trusted: tuple[str, ...] = TRUSTED, blocked: tuple[str, ...] = BLOCKED, damping: float = 0.85, rounds: int = 12, every: int = 4) -> DataFrame:
+def host_scores(pages: DataFrame, trusted: tuple[str, ...] = TRUSTED, blocked: tuple[str, ...] = BLOCKED, damping: float = 0.85, rounds: int = 12, every: int = 4, per_seed: bool = False) -> DataFrame:
     """(host, trust, distrust, seed) of all hosts that pages or links name.
 
     Personalised PageRank by power iteration: trust starts at the trusted seeds (blocked ones are never trusted) and
     follows links; distrust starts at the blocked seeds and goes against them. Both run in the same join. Mass of hosts
-    without links isn't put back, which changes only the scale; each score is divided by its greatest. Checkpoints cut
-    the lineage every few rounds.
+    without links isn't put back, which changes only the scale; each score is divided by its greatest or, with per_seed,
+    by the mass that a seed has of its own, which no other host can move. Checkpoints cut the lineage every few rounds.
     """
     edges = cut(host_edges(pages))
     named = pages.select(host_of(F.col("url")).alias("host")).filter("host is not null").union(edges.select("src")).union(edges.select("dst")).distinct()
@@ -68,7 +68,7 @@ def host_scores(pages: DataFrame, trusted: tuple[str, ...] = TRUSTED, blocked: t
             rank = cut(rank)
     rank = cut(rank)
     steps.unpersist()
-    top = rank.agg(F.max("t"), F.max("d")).first()
+    top = [(1 - damping) / max(1, k or 0) for k in n] if per_seed else rank.agg(F.max("t"), F.max("d")).first()
     over = lambda c, m: F.col(c) / F.lit(m) if m else F.lit(0.0)
     return rank.join(hosts, "host").select("host", over("t", top[0]).alias("trust"), over("d", top[1]).alias("distrust"), "seed")
 
@@ -76,15 +76,17 @@ def host_scores(pages: DataFrame, trusted: tuple[str, ...] = TRUSTED, blocked: t
 def filter_urls(pages: DataFrame, trusted: tuple[str, ...] = TRUSTED, blocked: tuple[str, ...] = BLOCKED, min_distrust: float = 0.01, max_share: float = 0.5, max_broadcast: int = 1_000_000) -> DataFrame:
     """(page_id, url, host, trust, distrust, keep) of every row of pages.
 
-    A host is rejected if its distrust is at least min_distrust and more than max_share of its trust and distrust
-    together. Hosts that neither reaches stay. The scores are broadcast if there are at most max_broadcast hosts
-    (counted first), else joined by shuffling, where adaptive execution splits hot hosts.
+    A blocked seed is always rejected, any other host if its distrust is at least min_distrust and more than max_share
+    of its trust and distrust together. Both are in units of the mass that a seed of their kind has of its own, so a
+    host's verdict doesn't depend on how much others gather. Hosts that neither reaches stay. The scores are broadcast
+    if there are at most max_broadcast hosts (counted first), else joined by shuffling, where adaptive execution splits
+    hot hosts.
 
     Defined cases: a null url, or one without a host, has null host and scores and isn't kept; null html has no links; a
     link to the same host counts nothing; repeated rows stay, and count as links again; without seeds every host
     stays; extra columns are ignored; an empty table gives an empty table.
     """
-    scores = cut(host_scores(pages, trusted, blocked).withColumnRenamed("host", "h"))
+    scores = cut(host_scores(pages, trusted, blocked, per_seed=True).withColumnRenamed("host", "h"))
     joined = pages.select("page_id", "url", host_of(F.col("url")).alias("host")).join(F.broadcast(scores) if scores.count() <= max_broadcast else scores, F.col("host") == F.col("h"), "left")
-    bad = (F.col("distrust") >= min_distrust) & (F.col("distrust") > F.lit(max_share) * (F.col("distrust") + F.col("trust")))
+    bad = (F.col("seed") == "blocked") | (F.col("distrust") >= min_distrust) & (F.col("distrust") > F.lit(max_share) * (F.col("distrust") + F.col("trust")))
     return joined.select("page_id", "url", "host", "trust", "distrust", (F.col("host").isNotNull() & ~F.coalesce(bad, F.lit(False))).alias("keep"))
