@@ -320,6 +320,28 @@ def test_mix(spark):
     assert [c for c in mixing.stage(d).columns if c not in ("topic", "n_tokens", "probability")] == [c for c in d.columns if c not in ("topic", "probability")]
 
 
+def test_a_source_beyond_the_thousandth_has_its_target(spark):
+    rows = [(k, "w " * 20, "en", f"s{k}") for k in range(1200)] + [(2000 + k, f"word{k}", "en", "tiny") for k in range(10)]
+    got = mixing.mix(docs(spark, rows), {"source": {"tiny": 0.01}}).filter("row.source = 'tiny'").collect()
+    assert len(got) == 10 and all(r["probability"] > 0.999 for r in got)
+
+
+def test_rake_of_a_table_is_that_of_the_driver(spark):
+    rng = random.Random(13)
+    cells = {(f"s{a}", f"l{b}", "t"): float(rng.randint(5, 500)) for a in range(6) for b in range(2)}
+    raw = spark.createDataFrame([(*k, int(v)) for k, v in cells.items()], "source string, lang string, topic string, n long")
+    total = sum(cells.values())
+    by = [{}, {}, {}]
+    for k, v in cells.items():
+        for i in range(3):
+            by[i][k[i]] = by[i].get(k[i], 0) + v
+    goals = [{"s0": 0.5, "s1": 0.1, "gone": 0.1}, mixing.tempered(by[1], 0.5), mixing.tempered(by[2], 0.5)]
+    want = mixing.rake(cells, goals, 0.6 * total, rounds=2)
+    tables = [mixing.wanted(raw, a, goals[0] if a == "source" else None, 0.6 * total, 0.5) for a in mixing.AXES]
+    got = {(r[0], r[1], r[2]): r["w"] for r in mixing.rake_table(raw, tables, 0.6 * total, rounds=2).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * total for k in want)
+
+
 # --- 7: hosts
 def test_host_scores_are_those_of_power_iteration(spark):
     pages = [(1, "http://good.org/a", '<a href="http://mid.com/x">m</a>'), (2, "https://mid.com/", "<A HREF='//leaf.net/'>l</A><a href=/own>o</a>"), (3, "http://shady.com/", '<a href="http://casino-win.com/">c</a> <a href="http://casino-win.com/2">c</a>'), (4, "http://blog.far.shady.com:80/q?x", ""), (5, "not a url", "x"), (6, None, None), (7, "http://leaf.net.", None), (3, "http://shady.com/", '<a href="http://casino-win.com/">c</a>'), (8, "http://user@MID.com", '<a href="http://good.org/">')]

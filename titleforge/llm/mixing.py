@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titleforge.llm.common import count_words, cut, packed, ship
+from titleforge.llm.common import count_words, cut, packed, shared_dir, ship
 
 AXES = ("source", "lang", "topic")
-OTHER, NONE = "(other)", "(none)"
+NONE = "(none)"
 
 
 def topic_of(text: Column, words: Column) -> Column:
@@ -30,7 +32,7 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], b
     Each round scales the cells of a category, axis by axis, to the category's share; a cell that would pass its tokens
     stays at them while the others of its category make up for it. A category without a target keeps its share of
     what the targets leave; targets of absent categories are spread over the present. Where the limits can't be met
-    together the last round's weights are used.
+    together the last round's weights are used; rounds end where one leaves all weights as it found them.
     """
     keys = sorted(k for k, v in cells.items() if v > 0)
     if not keys:
@@ -40,7 +42,8 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], b
     axes = []
     for a, target in enumerate(targets):
         names = sorted({k[a] for k in keys})
-        idx = np.array([names.index(k[a]) for k in keys])
+        at = {n: i for i, n in enumerate(names)}
+        idx = np.array([at[k[a]] for k in keys])
         own = np.bincount(idx, weights=have)
         known = np.array([n in target for n in names])
         share = np.array([target.get(n, 0.0) for n in names])
@@ -50,7 +53,7 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], b
         axes.append((idx, share / share.sum() * budget if share.sum() > 0 else own / own.sum() * budget))
     w = have * (budget / have.sum())
     for _ in range(rounds):
-        worst = 0.0
+        worst, was = 0.0, w
         for idx, want in axes:
             now = np.bincount(idx, weights=w, minlength=len(want))
             worst = max(worst, float(np.abs(now - want).max()) / budget)
@@ -64,11 +67,62 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], b
                 w = np.minimum(have, np.where(over[idx] | ~full, w * factor[idx], w))
                 if np.abs(w - before).max() <= 1e-9 * budget:
                     break
-        if worst < tol:
+        if worst < tol or np.abs(w - was).max() <= 1e-9 * budget:
             break
     return dict(zip(keys, w.tolist()))
 
 
+def wanted(cells: DataFrame, axis: str, target: dict[str, float] | None, budget: float, power: float) -> DataFrame:
+    """(axis, want): the tokens to keep of each category, as rake() and tempered() have them, without collecting the categories."""
+    own = cut(cells.groupBy(axis).agg(F.sum("n").alias("own")))
+    if target:
+        named = own.sparkSession.createDataFrame([(k, float(v)) for k, v in target.items()], f"{axis} string, share double")
+        own = cut(own.join(named, axis, "left"))
+        known, rest = own.agg(F.coalesce(F.sum("share"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("share").isNull(), F.col("own"))), F.lit(0.0))).first()
+        share = F.coalesce("share", F.lit(max(0.0, 1 - known)) * F.col("own") / F.lit(float(rest or 1)))
+    else:
+        share = F.pow(F.col("own"), F.lit(power))
+    total = own.agg(F.sum(share)).first()[0]
+    if not total:
+        share, total = F.col("own"), own.agg(F.sum("own")).first()[0]
+    return cut(own.select(axis, (share / F.lit(float(total)) * F.lit(budget)).alias("want")))
+
+
+def rake_table(cells: DataFrame, wants: list[DataFrame], budget: float, rounds: int = 500, tol: float = 1e-6) -> DataFrame:
+    """(source, lang, topic, have, w): rake() for cells and categories that the driver needn't hold, by grouped sums and joins.
+
+    Each step is written to the shared folder and read again, and the one before it is deleted.
+    """
+    spark = cells.sparkSession
+    at, last, jvm = f"{shared_dir(spark)}/rake-{uuid.uuid4().hex}", "", spark.sparkContext._jvm
+    full = F.col("w") >= F.col("have") * (1 - 1e-12)
+    total = cells.agg(F.sum("n")).first()[0]
+    state = cells.select(*AXES, F.col("n").cast("double").alias("have"), (F.col("n") * F.lit(budget / total)).alias("w"))
+    step = 0
+    for _ in range(rounds):
+        worst = 0.0
+        state = state.withColumn("was", F.col("w"))
+        for axis, want in zip(AXES, wants):
+            for first in (True, *[False] * 19):
+                sums = state.groupBy(axis).agg(F.sum(F.when(full, F.col("w")).otherwise(0.0)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("free")).join(want, axis)
+                over, now = F.col("fixed") + F.col("free") > F.col("want"), F.col("fixed") + F.col("free")
+                factor = F.when(over, F.col("want") / F.greatest(now, F.lit(1e-9))).when(F.col("free") > 0, F.greatest(F.lit(0.0), F.col("want") - F.col("fixed")) / F.greatest("free", F.lit(1e-9))).otherwise(1.0)
+                new = F.least("have", F.when(over | ~full, F.col("w") * factor).otherwise(F.col("w")))
+                state.join(sums, axis).select(*AXES, "have", "was", new.alias("w"), F.abs(new - F.col("w")).alias("moved"), F.abs(now - F.col("want")).alias("gap")).write.parquet(f"{at}/{step}")
+                state = spark.read.parquet(f"{at}/{step}")
+                if last:
+                    path = jvm.org.apache.hadoop.fs.Path(last)
+                    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                last, step = f"{at}/{step}", step + 1
+                moved, gap = state.agg(F.max("moved"), F.max("gap")).first()
+                worst = max(worst, gap / budget) if first else worst
+                if moved <= 1e-9 * budget:
+                    break
+        if worst < tol or state.agg(F.max(F.abs(F.col("w") - F.col("was")))).first()[0] <= 1e-9 * budget:
+            break
+    return state.select(*AXES, "have", "w")
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, power: float = 0.7, keep: float = 0.7, max_categories: int = 1000, seed: int = 11) -> DataFrame:
     """The sampled rows of docs packed as ``row``, with topic, n_tokens and probability.
 
@@ -76,8 +130,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, top
     give shares of any axis; an axis without is tempered from its own totals. Cells are raked to the marginals at a
     budget of ``keep`` of all tokens, and a document stays if a uniform hash of seed, doc_id and text is below its
     cell's probability, kept over present tokens: no shuffle but that of the counts, the same sample on every run.
-    Categories beyond the max_categories largest of an axis count as '(other)', so the cells, which are collected and
-    broadcast, are bounded; their documents are sampled like all others.
+    Every category is raked, however many there are. Up to 1,000 cells for each of max_categories (counted first) are
+    raked by the driver and broadcast; more stay a table, raked by the same steps and joined by shuffling.
 
     Defined cases: null source or language is the category '(none)'; a text without tokens, or null, weighs nothing and
     is left out; rows equal in doc_id and text stay or go together; extra columns are carried in ``row``; an empty
@@ -88,21 +142,26 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, top
     text, words = F.col("text"), F.col("n")
     axis = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": F.coalesce(topic if topic is not None else topic_of(text, words), F.lit(NONE))}
     raw = cut(docs.select("source", "lang", "text", count_words(text).alias("n")).select(*[axis[a].alias(a) for a in AXES], "n").groupBy(*AXES).agg(F.sum("n").alias("n")))
-    kept = {a: [r[0] for r in raw.groupBy(a).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), a).limit(max_categories).collect()] for a in AXES}
-    fold = lambda a, c: F.when(c.isin(kept[a]), c).otherwise(F.lit(OTHER)) if kept[a] else c
-    cells = {tuple(r[:3]): float(r[3]) for r in raw.select(*[fold(a, F.col(a)).alias(a) for a in AXES], "n").groupBy(*AXES).agg(F.sum("n").alias("n")).collect()}
-    goals = []
-    for i, a in enumerate(AXES):
-        totals: dict[str, float] = {}
-        for k, v in cells.items():
-            totals[k[i]] = totals.get(k[i], 0.0) + v
-        goals.append(targets.get(a) or tempered(totals, power))
-    weights = rake(cells, goals, keep * sum(cells.values()))
-    table = docs.sparkSession.createDataFrame([(*k, w / cells[k]) for k, w in weights.items()], "c_source string, c_lang string, c_topic string, probability double")
+    raw = raw.filter("n > 0")
+    n_cells, total = raw.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n_cells <= 1000 * max_categories or not n_cells:
+        cells = {tuple(r[:3]): float(r[3]) for r in raw.collect()}
+        goals = []
+        for i, a in enumerate(AXES):
+            totals: dict[str, float] = {}
+            for k, v in cells.items():
+                totals[k[i]] = totals.get(k[i], 0.0) + v
+            goals.append(targets.get(a) or tempered(totals, power))
+        weights = rake(cells, goals, keep * total)
+        table = F.broadcast(docs.sparkSession.createDataFrame([(*k, w / cells[k]) for k, w in weights.items()], "c_source string, c_lang string, c_topic string, probability double"))
+    else:
+        budget = min(keep, 1.0) * total
+        raked = rake_table(raw, [wanted(raw, a, targets.get(a), budget, power) for a in AXES], budget)
+        table = raked.select(*[F.col(a).alias(f"c_{a}") for a in AXES], (F.col("w") / F.col("have")).alias("probability"))
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     d = packed(docs, n=count_words(text), u=u, text=text, source=F.col("source"), lang=F.col("lang"))
-    d = d.select("row", "u", F.col("n").alias("n_tokens"), *[fold(a, axis[a]).alias(f"c_{a}") for a in AXES]).filter("n_tokens > 0")
-    return d.join(F.broadcast(table), [f"c_{a}" for a in AXES]).filter(F.col("u") < F.col("probability")).select("row", F.col("c_topic").alias("topic"), "n_tokens", "probability")
+    d = d.select("row", "u", F.col("n").alias("n_tokens"), *[axis[a].alias(f"c_{a}") for a in AXES]).filter("n_tokens > 0")
+    return d.join(table, [f"c_{a}" for a in AXES]).filter(F.col("u") < F.col("probability")).select("row", F.col("c_topic").alias("topic"), "n_tokens", "probability")
 
 
 def sampled(docs: DataFrame) -> DataFrame:
