@@ -342,6 +342,17 @@ def test_rake_of_a_table_is_that_of_the_driver(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * total for k in want)
 
 
+def test_topic_is_the_column_or_of_the_content(spark):
+    rng = random.Random(14)
+    about = {"sea": "ship harbour sailor anchor tide captain deck reef", "bake": "oven flour yeast dough crust loaf knead butter"}
+    rows = [(k, " ".join(rng.choices("the of and with from".split(), k=8) + rng.choices(about[t].split(), k=12)), "en", t) for k, t in enumerate(["sea", "bake"] * 100)]
+    d = docs(spark, rows)
+    assert {r[0] for r in mixing.mix(d.withColumn("topic", F.col("source"))).select("topic").collect()} == {"sea", "bake"}
+    of = mixing.mix(d.drop("topic"), keep=1.0, power=1.0).select("row.source", "topic").distinct().collect()
+    named = {t: {r["topic"] for r in of if r["source"] == t} for t in about}
+    assert not named["sea"] & named["bake"] and "(none)" not in named["sea"] | named["bake"]
+
+
 # --- 7: hosts
 def test_host_scores_are_those_of_power_iteration(spark):
     pages = [(1, "http://good.org/a", '<a href="http://mid.com/x">m</a>'), (2, "https://mid.com/", "<A HREF='//leaf.net/'>l</A><a href=/own>o</a>"), (3, "http://shady.com/", '<a href="http://casino-win.com/">c</a> <a href="http://casino-win.com/2">c</a>'), (4, "http://blog.far.shady.com:80/q?x", ""), (5, "not a url", "x"), (6, None, None), (7, "http://leaf.net.", None), (3, "http://shady.com/", '<a href="http://casino-win.com/">c</a>'), (8, "http://user@MID.com", '<a href="http://good.org/">')]

@@ -3,20 +3,91 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from titleforge.llm import textvec as tv
 from titleforge.llm.common import count_words, cut, packed, shared_dir, ship
 
 AXES = ("source", "lang", "topic")
 NONE = "(none)"
-
-
-def topic_of(text: Column, words: Column) -> Column:
-    """The topic axis where a corpus has no topic column: the form of the text."""
-    return F.when(text.contains(" | "), "table").when(words < 100, "short").when(words < 1000, "medium").otherwise("long")
+BITS = 12
+
+
+@dataclass
+class Topics:
+    """Clusters of texts by vocabulary: spherical k-means over hashed distinct words, weighted by their rarity."""
+
+    rarity: np.ndarray  # [1 << BITS]
+    centres: np.ndarray  # [1 << BITS, topics]
+
+    @staticmethod
+    def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document, feature) of each document's distinct hashed words, by document."""
+        data, offs = tv.text_bytes(texts, lower=True)
+        for w in tv.words(data, offs):
+            key = np.unique((w.doc.astype(np.int64) << BITS) | (tv.mix(w.hash) >> np.uint64(64 - BITS)).astype(np.int64))
+            yield w.d0 + (key >> BITS), key & ((1 << BITS) - 1)
+
+    @classmethod
+    def fit(cls, texts: list[str], topics: int = 16, rounds: int = 20) -> "Topics":
+        """Words in most texts weigh next to nothing, so what all texts of a language share doesn't make a cluster."""
+        pairs = list(cls.features(pa.array(texts, pa.string())))
+        x = np.zeros((len(texts), 1 << BITS), dtype=np.float32)
+        for doc, f in pairs:
+            x[doc, f] = 1
+        x = x[x.any(axis=1)]
+        if not len(x):
+            return cls(np.zeros(1 << BITS, dtype=np.float32), np.zeros((1 << BITS, 0), dtype=np.float32))
+        rarity = (np.log((len(x) + 1) / np.maximum(x.sum(axis=0), 1)) ** 2).astype(np.float32)
+        x *= rarity
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        near, first = x @ x[0], [0]
+        while len(first) < min(topics, len(x)) and near.min() < 0.999:  # each start is the text farthest from those before
+            first.append(int(near.argmin()))
+            near = np.maximum(near, x @ x[first[-1]])
+        c, own = x[first], None
+        for _ in range(rounds):
+            last, own = own, (x @ c.T).argmax(axis=1)
+            if last is not None and (own == last).all():
+                break
+            for k in range(len(c)):
+                if (own == k).any():
+                    mean = x[own == k].mean(axis=0)
+                    c[k] = mean / max(float(np.linalg.norm(mean)), 1e-9)
+        return cls(rarity, np.ascontiguousarray(c.T))
+
+    def assign(self, texts: pa.Array) -> pa.Array:
+        """The name of the nearest topic of each text; null for a text without a word."""
+        out = np.full(len(texts), -1)
+        for doc, f in self.features(texts):
+            if len(doc) and self.centres.shape[1]:
+                at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                out[doc[at]] = np.add.reduceat(self.centres[f] * self.rarity[f, None], at, axis=0).argmax(axis=1)
+        return pa.array([f"t{k:02d}" if k >= 0 else None for k in out.tolist()], pa.string())
+
+
+def topic_of(docs: DataFrame, sample: int = 2000) -> Column:
+    """The topic of a text: docs' column topic if it has one, else its nearest cluster; clusters are those of the texts whose hash is least."""
+    if "topic" in docs.columns:
+        return F.col("topic").cast("string")
+    order = F.pmod(F.xxhash64("t", F.lit(41)), F.lit(1 << 40))
+    texts = docs.select(F.col("text").alias("t")).filter(F.col("t").isNotNull())
+    least = int(min(1.0, (2.0 * sample + 50) / max(1, texts.count())) * (1 << 40))  # else each partition would send its own least
+    rows = texts.filter(order <= least).orderBy(order, "t").limit(sample).collect()
+    shared = docs.sparkSession.sparkContext.broadcast(Topics.fit([r["t"] for r in rows]))
+
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return shared.value.assign(texts)
+
+    return run.asNondeterministic()(F.col("text"))  # else filters below it would run it once more
 
 
 def tempered(totals: dict[str, float], power: float) -> dict[str, float]:
@@ -126,7 +197,8 @@ def rake_table(cells: DataFrame, wants: list[DataFrame], budget: float, rounds:
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, power: float = 0.7, keep: float = 0.7, max_categories: int = 1000, seed: int = 11) -> DataFrame:
     """The sampled rows of docs packed as ``row``, with topic, n_tokens and probability.
 
-    Tokens (runs of non-blanks) are counted over all documents by cell of source, language and topic. ``targets`` may
+    The topic is ``topic``, else docs' column of that name, else a cluster of vocabulary that every document is assigned
+    to (fitted on a sample bounded in number). Tokens (runs of non-blanks) are counted over all documents by cell of source, language and topic. ``targets`` may
     give shares of any axis; an axis without is tempered from its own totals. Cells are raked to the marginals at a
     budget of ``keep`` of all tokens, and a document stays if a uniform hash of seed, doc_id and text is below its
     cell's probability, kept over present tokens: no shuffle but that of the counts, the same sample on every run.
@@ -139,9 +211,10 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, top
     """
     targets = targets or {}
     ship(docs.sparkSession)
-    text, words = F.col("text"), F.col("n")
-    axis = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": F.coalesce(topic if topic is not None else topic_of(text, words), F.lit(NONE))}
-    raw = cut(docs.select("source", "lang", "text", count_words(text).alias("n")).select(*[axis[a].alias(a) for a in AXES], "n").groupBy(*AXES).agg(F.sum("n").alias("n")))
+    text = F.col("text")
+    topic = topic if topic is not None else topic_of(docs)
+    axis = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": F.coalesce("topic", F.lit(NONE))}
+    raw = cut(docs.select("source", "lang", topic.alias("topic"), count_words(text).alias("n")).select(*[axis[a].alias(a) for a in AXES], "n").groupBy(*AXES).agg(F.sum("n").alias("n")))
     raw = raw.filter("n > 0")
     n_cells, total = raw.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if n_cells <= 1000 * max_categories or not n_cells:
@@ -159,7 +232,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, top
         raked = rake_table(raw, [wanted(raw, a, targets.get(a), budget, power) for a in AXES], budget)
         table = raked.select(*[F.col(a).alias(f"c_{a}") for a in AXES], (F.col("w") / F.col("have")).alias("probability"))
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    d = packed(docs, n=count_words(text), u=u, text=text, source=F.col("source"), lang=F.col("lang"))
+    d = packed(docs, n=count_words(text), u=u, source=F.col("source"), lang=F.col("lang"), topic=topic)
     d = d.select("row", "u", F.col("n").alias("n_tokens"), *[axis[a].alias(f"c_{a}") for a in AXES]).filter("n_tokens > 0")
     return d.join(table, [f"c_{a}" for a in AXES]).filter(F.col("u") < F.col("probability")).select("row", F.col("c_topic").alias("topic"), "n_tokens", "probability")
 
