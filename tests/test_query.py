@@ -1,8 +1,11 @@
+import json
+import random
+
 import pytest
 
-from titleforge.errors import NumberError, UnknownDirective, UnknownScorer, UnknownSimilarity, UnknownTitle
+from titleforge.errors import ConfigError, NumberError, UnknownDirective, UnknownScorer, UnknownSimilarity, UnknownTitle
 from titleforge.functions.scoring import Scorer
-from titleforge.functions.similarity import Similarity, jaro, jaro_winkler
+from titleforge.functions.similarity import Similarity, jaro, jaro_many, jaro_winkler
 from titleforge.query import Query, Range
 from titleforge.schema import parse_kind
 
@@ -32,7 +35,9 @@ def test_print_round_trip():
     q = Query().named("foo bar baz").kind("tvSeries").kind("movie").sized(31).similar(Similarity.JARO).at_least(season=4).at_most(season=5)
     parts = ["scorer:okapibm25", "sim:jaro", "size:31", "movie", "tvSeries", "season:4-5"]
     assert str(q) == " ".join("{" + p + "}" for p in parts) + " foo bar baz"
-    assert str(Query.parse(str(q))) == str(q) == q.to_json()
+    assert str(Query.parse(str(q))) == str(q) == json.loads(q.to_json()) and str(Query.from_json(q.to_json())) == str(q)
+    with pytest.raises(ConfigError):
+        Query.from_json('[1]')
 
 
 def test_shape():
@@ -49,3 +54,14 @@ def test_enums_and_kinds():
 def test_jaro_values():
     assert round(jaro("martha", "marhta"), 6) == 0.944444 and round(jaro_winkler("martha", "marhta"), 6) == 0.961111
     assert round(jaro("dwayne", "duane"), 6) == 0.822222 and round(jaro("dixon", "dicksonx"), 6) == 0.766667 and jaro("", "") == 1.0 and jaro("a", "") == 0.0 and jaro("abc", "xyz") == 0.0
+
+
+def test_many_are_each():
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choices("abcé 😀", k=k))
+    others = [word(rng.randint(0, 14)) for _ in range(400)] + ["", "a" * 300, "abcé"]
+    for a in ["", "a", "abcé", word(9), word(30)]:
+        for winkler, one in ((False, jaro), (True, jaro_winkler)):
+            for cells in (50, 2_000_000):
+                got = jaro_many(a, others, winkler, cells=cells)
+                assert all(abs(x - one(a, b)) < 1e-12 for x, b in zip(got, others))

@@ -67,24 +67,72 @@ def jaro_winkler(a: str, b: str, p: float = 0.1, longest: int = 4) -> float:
     return s + k * p * (1 - s)
 
 
+def jaro_many(a: str, others: list[str], winkler: bool, p: float = 0.1, longest: int = 4, cells: int = 2_000_000) -> list[float]:
+    """jaro or jaro_winkler of one text and many, a character of ``a`` at a time over a matrix of code points; texts of like length share a matrix."""
+    import numpy as np
+
+    points = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    x, size = points(a), np.array([len(s) for s in others], dtype=np.int64)
+    out, order, at = np.zeros(len(others)), np.argsort(size, kind="stable"), 0
+    while at < len(order):
+        # As many texts as keep the matrix small: at least one, however long.
+        n = max(1, int(np.searchsorted(size[order[at:]] * np.arange(1, len(order) - at + 1), cells, side="right")))
+        rows, at = order[at : at + n], at + n
+        lens = size[rows]
+        width = int(lens.max())
+        if not width or not len(x):
+            out[rows] = (lens == len(x)).astype(float)
+            continue
+        y = np.zeros((len(rows), width), dtype=np.uint32)
+        y[np.arange(width) < lens[:, None]] = np.concatenate([points(others[r]) for r in rows])
+        free, k = np.arange(width) < lens[:, None], np.arange(len(rows))
+        reach = np.maximum(0, np.maximum(len(x), lens) // 2 - 1)
+        matched = np.zeros((len(rows), len(x)), dtype=bool)
+        for i, c in enumerate(x):
+            lo, hi = np.maximum(0, i - reach), np.minimum(lens, i + reach + 1)
+            l0, h0 = int(lo.min()), max(int(hi.max()), int(lo.min()) + 1)
+            cols = np.arange(l0, h0)
+            ok = (y[:, l0:h0] == c) & free[:, l0:h0] & (cols >= lo[:, None]) & (cols < hi[:, None])
+            if not ok.shape[1]:
+                continue
+            first = ok.argmax(axis=1)
+            hit = ok[k, first]
+            free[k[hit], l0 + first[hit]] = False
+            matched[:, i] = hit
+        taken = (np.arange(width) < lens[:, None]) & ~free
+        m = matched.sum(axis=1)
+        left, right = np.zeros((len(rows), int(m.max()) + 1), dtype=np.uint32), np.zeros((len(rows), int(m.max()) + 1), dtype=np.uint32)
+        r, c = np.nonzero(matched)
+        left[r, (matched.cumsum(axis=1) - 1)[r, c]] = x[c]
+        r, c = np.nonzero(taken)
+        right[r, (taken.cumsum(axis=1) - 1)[r, c]] = y[r, c]
+        swaps = (left != right).sum(axis=1) // 2
+        safe = np.maximum(m, 1)
+        s = np.where(m > 0, (m / len(x) + m / np.maximum(lens, 1) + (m - swaps) / safe) / 3, 0.0)
+        if winkler:
+            w = min(longest, width, len(x))
+            same = (y[:, :w] == x[:w]) & (np.arange(w) < lens[:, None])
+            s = s + np.logical_and.accumulate(same, axis=1).sum(axis=1) * p * (1 - s)
+        out[rows] = s
+    return out.tolist()
+
+
 def _udf(kind: Similarity):
-    """An Arrow UDF that carries its functions with it by value, so that executors need not have this package."""
+    """An Arrow UDF that carries its function with it by value, so that executors need not have this package."""
     winkler = kind is Similarity.JARO_WINKLER
-    one = FunctionType(jaro.__code__, {"__builtins__": __builtins__}, "jaro")
-    two = FunctionType(jaro_winkler.__code__, {"__builtins__": __builtins__, "jaro": one}, "jaro_winkler", jaro_winkler.__defaults__)
-    one.__module__ = two.__module__ = "__main__"
-    pair = two if winkler else one
+    many = FunctionType(jaro_many.__code__, {"__builtins__": __builtins__}, "jaro_many", jaro_many.__defaults__)
+    many.__module__ = "__main__"
 
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         import pyarrow
 
-        seen: dict = {}  # equal pairs are worked out once a batch
-        out = []
-        for xy in zip(a.to_pylist(), b.to_pylist()):
-            if xy not in seen:
-                seen[xy] = None if None in xy else pair(*xy)
-            out.append(seen[xy])
-        return pyarrow.array(out, pyarrow.float64())
+        of: dict = {}  # by query its titles, each once
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            if x is not None and y is not None:
+                of.setdefault(x, {})[y] = 0.0
+        for x, ys in of.items():
+            ys.update(zip(ys, many(x, list(ys), winkler)))
+        return pyarrow.array([None if x is None or y is None else of[x][y] for x, y in zip(a.to_pylist(), b.to_pylist())], pyarrow.float64())
 
     run.__module__ = "__main__"
     return F.arrow_udf(run, T.DoubleType())

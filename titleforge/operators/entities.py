@@ -19,6 +19,10 @@ def in_order(episodes: DataFrame) -> DataFrame:
     return episodes.orderBy("tvshow_id", F.asc_nulls_last("season"), F.asc_nulls_last("episode"), "id")
 
 
+def by_id_order(episodes: DataFrame) -> DataFrame:
+    return episodes.orderBy("id")
+
+
 def seasons(episodes: DataFrame, tvshow_id: str) -> DataFrame:
     """All episodes of a show, in order."""
     return in_order(episodes.filter(F.col("tvshow_id") == tvshow_id))

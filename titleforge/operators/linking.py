@@ -99,17 +99,29 @@ def link(catalog: Catalog, paths: DataFrame, linker: Linker = Linker()) -> DataF
     return j.select("path", "is_dir", "parent", "ext", "form", status.alias("status"), F.col("target").alias("id"), F.when(status == "auto", new).alias("new_base"))
 
 
-def proposals(linked: DataFrame, dest_dir: str | None = None) -> DataFrame:
-    """(src, dst) of the paths that would change, longest destination first if there are directories; raises if two would be the same file.
+def proposals(linked: DataFrame, dest_dir: str | None = None, action: str = "rename", check_exists: bool = True) -> DataFrame:
+    """(src, dst) of the paths that would change, longest destination first if there are directories.
 
-    dest_dir, else each file's own folder, is where the new names go.
+    New names go to dest_dir; else files that are renamed stay in their own folder, and links are made in the folder
+    one is in. The source of a symbolic link into dest_dir is an absolute path, else it wouldn't be found from there.
+    Raises if two would be the same file, or (looked up on the driver) if there is a file of that name already.
     """
+    if dest_dir is None and action != "rename":
+        dest_dir = os.getcwd()
+        src = F.col("path")
+    else:
+        absolute = dest_dir is not None and action == "symlink"
+        src = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit(os.getcwd() + "/"), F.col("path"))) if absolute else F.col("path")
     folder = F.lit(dest_dir) if dest_dir is not None else F.col("parent")
     dst = F.when(folder == "", F.col("new_base")).otherwise(F.concat(folder, F.lit("/"), F.col("new_base")))
-    p = linked.filter("status = 'auto'").select(F.col("path").alias("src"), dst.alias("dst"), "is_dir").filter("src <> dst")
+    p = linked.filter("status = 'auto'").select(src.alias("src"), dst.alias("dst"), "is_dir").filter("src <> dst")
     twice = duplicate_destinations(p).head(1)
     if twice:
         raise LinkError(f"several files would become {twice[0]['dst']!r}")
+    if check_exists:
+        for r in p.select("dst").toLocalIterator():
+            if os.path.lexists(r["dst"]):
+                raise LinkError(f"{r['dst']!r} exists already")
     order = [F.desc(F.length("dst")), "dst"] if p.filter("is_dir").head(1) else ["dst"]
     return p.orderBy(*order).select("src", "dst")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -53,13 +53,27 @@ def split_terms(terms: DataFrame, index: NameIndex, stop_ratio: float, known: in
 
 
 def score_names(terms: DataFrame, index: NameIndex, scorer: Scorer, known: int | None = None) -> DataFrame:
-    """(qid, id, variant, score) of each name that has a primary term."""
+    """(qid, id, variant, score) of each name that has a primary term.
+
+    Two phases: only primary terms meet the postings. The other terms, which a good part of all names have, are looked up
+    in the counts of the names that were found, so no list of a frequent term is ever joined with the queries.
+    """
     q = terms.filter("df > 0").withColumn("weight", term_weight(scorer, F.col("df"), index.n) * F.lit(1.0))
-    hits = index.postings.join(small(q, known), "term")
+    hits = index.postings.join(small(q.filter("primary"), known), "term")
     s = F.col("qc") * term_score(scorer, F.col("weight"), F.col("tf"), F.col("doc_len"), index.avgdl)
-    by = hits.groupBy("qid", "ql", "id", "variant", "doc_len").agg(F.sum(F.when(F.col("primary"), s)).alias("p"), F.sum(F.when(~F.col("primary"), s)).alias("h"))
+    found = hits.groupBy("qid", "ql", "id", "variant", "doc_len").agg(F.sum(s).alias("p"))
+    other = q.filter("not primary").groupBy("qid").agg(F.collect_list(F.struct("term", "qc", "weight")).alias("other"))
+    found = found.join(small(other, known), "qid", "left")
+    counts = index.docs.select("id", "variant", F.map_from_entries("counts").alias("tfs"))
+    found = found.join(counts, ["id", "variant"])
+
+    def share(x: Column) -> Column:
+        tf = F.col("tfs")[x["term"]]
+        return F.when(tf.isNotNull(), x["qc"] * term_score(scorer, x["weight"], tf, F.col("doc_len"), index.avgdl)).otherwise(F.lit(0.0))
+
+    h = F.when(F.col("other").isNotNull(), F.aggregate("other", F.lit(0.0), lambda a, x: a + share(x))).otherwise(F.lit(0.0))
     part = lambda c: finish(scorer, F.col(c), F.col("ql"), F.col("doc_len"))
-    return by.filter("p is not null").select("qid", "id", "variant", (part("p") + F.coalesce(part("h"), F.lit(0.0))).alias("score"))
+    return found.withColumn("h", h).select("qid", "id", "variant", (part("p") + part("h")).alias("score"))
 
 
 def best_names(scored: DataFrame, dedup: str = "best") -> DataFrame:
@@ -163,8 +177,18 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return normalized(out.select("qid", "rank", "id", "kind", "title", "start_year", "score"))
 
 
-def search_by_name(catalog: Catalog, params: DataFrame, need: Need, scorer: Scorer = Scorer.OKAPI_BM25, sim: Similarity = Similarity.NONE, stop_ratio: float = STOP_RATIO, dedup: str = "best", known: int | None = None) -> DataFrame:
-    """Candidates by name, then filters, then re-ranking by similarity, then the cut, then normalising: in this order."""
+#: A score of one's own for re-ranking: from the columns of the query's name and of the title.
+Rescore = Callable[[Column, Column], Column]
+
+
+def finite(score: Column) -> Column:
+    """A score, which must be a number: NaN and the infinities are errors."""
+    bad = F.isnan(score) | (F.abs(score) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit("a score isn't finite")).cast("double")).otherwise(score)
+
+
+def search_by_name(catalog: Catalog, params: DataFrame, need: Need, scorer: Scorer = Scorer.OKAPI_BM25, sim: Similarity = Similarity.NONE, stop_ratio: float = STOP_RATIO, dedup: str = "best", known: int | None = None, rescore: Rescore | None = None) -> DataFrame:
+    """Candidates by name, then filters, then re-ranking by similarity (or ``rescore``), then the cut, then normalising: in this order."""
     p = _prefixed(params)
     names = params.filter("name is not null").select("qid", "name", "size")
     depth = F.greatest(F.lit(CANDIDATES), F.col("p_size"))
@@ -173,12 +197,19 @@ def search_by_name(catalog: Catalog, params: DataFrame, need: Need, scorer: Scor
     cut = normalized(top(found.join(small(p.select("qid", "p_size"), known), "qid"), depth)).select("qid", "id", F.col("score").alias("name_score"))
     found = catalog.titles.join(small(cut, None if known is None else known * CANDIDATES), "id").join(small(p, known), "qid")
     found = catalog.matching(found, need)
-    score = F.col("name_score") if sim is Similarity.NONE else similarity(sim, F.col("p_name"), F.col("title"))
+    if rescore is not None:
+        score = finite(rescore(F.col("p_name"), F.col("title")).cast("double"))
+    else:
+        score = F.col("name_score") if sim is Similarity.NONE else similarity(sim, F.col("p_name"), F.col("title"))
     return _ranked(found.withColumn("score", score))
 
 
-def search_all(catalog: Catalog, params: DataFrame, need: Need, sim: Similarity = Similarity.NONE, known: int | None = None) -> DataFrame:
-    """Without an index: all titles (or a show's episodes) through the filters, by similarity to the name if there is one."""
+def search_all(catalog: Catalog, params: DataFrame, need: Need, sim: Similarity = Similarity.NONE, known: int | None = None, rescore: Rescore | None = None) -> DataFrame:
+    """Without an index: all titles (or a show's episodes) through the filters, by similarity to the name if there is one.
+
+    The queries are the side that is broadcast, so titles stay where they are; their number is counted if it isn't known.
+    """
+    known = params.count() if known is None else known
     p = _prefixed(params)
     if need.episode:
         by_show = catalog.visible().join(catalog.episodes.select("id", F.col("tvshow_id").alias("show_key")), "id").join(small(p.filter("p_tvshow_id is not null"), known), F.col("show_key") == F.col("p_tvshow_id")).drop("show_key")
@@ -187,14 +218,16 @@ def search_all(catalog: Catalog, params: DataFrame, need: Need, sim: Similarity
     else:
         rows = catalog.visible().join(small(p, known))
     rows = catalog.matching(rows, need)
-    if sim is Similarity.NONE:
+    if rescore is not None:
+        score = finite(F.coalesce(rescore(F.col("p_name"), F.col("title")).cast("double"), F.lit(0.0)))
+    elif sim is Similarity.NONE:
         score = F.when(F.col("p_name").isNotNull() | F.col("p_tvshow_id").isNotNull(), 1.0).otherwise(0.0)
     else:
         score = F.coalesce(similarity(sim, F.col("p_name"), F.col("title")), F.lit(0.0))
     return _ranked(rows.withColumn("score", score).withColumn("name_score", F.lit(0.0)))
 
 
-def search(catalog: Catalog, queries: Iterable[tuple[str, Query]], stop_ratio: float = STOP_RATIO, dedup: str = "best") -> DataFrame:
+def search(catalog: Catalog, queries: Iterable[tuple[str, Query]], stop_ratio: float = STOP_RATIO, dedup: str = "best", rescore: Rescore | None = None) -> DataFrame:
     """(qid, rank, id, kind, title, start_year, score). One plan for each scorer and similarity that the batch has; empty queries find nothing."""
     groups: dict[tuple, list[tuple[str, Query]]] = {}
     for i, q in queries:
@@ -204,9 +237,9 @@ def search(catalog: Catalog, queries: Iterable[tuple[str, Query]], stop_ratio: f
     for (by_name, scorer, sim), own in sorted(groups.items(), key=str):
         params, need = params_of(catalog.spark, own), Need.of(q for _, q in own)
         if by_name:
-            found = search_by_name(catalog, params, need, scorer, sim, stop_ratio, dedup, len(own))
+            found = search_by_name(catalog, params, need, scorer, sim, stop_ratio, dedup, len(own), rescore)
         else:
-            found = search_all(catalog, params, need, sim, len(own))
+            found = search_all(catalog, params, need, sim, len(own), rescore)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return catalog.spark.createDataFrame([], "qid string, rank int, id string, kind string, title string, start_year int, score double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from titleforge.functions.analysis import NgramType
 from titleforge.operators.index import NameIndex, title_names
 from titleforge.operators.search import Catalog
+from titleforge.sources.shared import place
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +48,19 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels").select(F.concat(F.lit("d"), "doc_id").alias("id"), (F.col("quality") + 5).cast("float").alias("rating"), (F.col("doc_id") * 37 % 3000).alias("votes"))
 
 
+def saved_index(spark: SparkSession, sf_dir: str, ngram: NgramType = NgramType.WINDOW, size: int = 3, include_adult: bool = False) -> NameIndex:
+    """The index of all names of the tables, saved in the shared folder at its first use and loaded from there by all that follow in this application."""
+    context, key = spark.sparkContext, (sf_dir, str(ngram), size, include_adult)
+    saved = context.__dict__.setdefault("_titleforge_indexes", {})
+    if key not in saved:
+        saved[key] = place(spark, "index", *key)
+        return NameIndex.create(title_names(titles(spark, sf_dir), akas(spark, sf_dir), include_adult), saved[key], ngram, size)
+    return NameIndex.load(spark, saved[key])
+
+
 def catalog(spark: SparkSession, sf_dir: str, indexed: bool = True, ngram: NgramType = NgramType.WINDOW, size: int = 3, include_adult: bool = False) -> Catalog:
-    t, a = titles(spark, sf_dir), akas(spark, sf_dir)
-    index = NameIndex.build(title_names(t, a, include_adult), ngram, size) if indexed else None
-    return Catalog(t, index, a, episodes(spark, sf_dir), ratings(spark, sf_dir), include_adult)
+    index = saved_index(spark, sf_dir, ngram, size, include_adult) if indexed else None
+    return Catalog(titles(spark, sf_dir), index, akas(spark, sf_dir), episodes(spark, sf_dir), ratings(spark, sf_dir), include_adult)
 
 
 SQL_TITLES = """titles AS (
@@ -58,7 +68,8 @@ SQL_TITLES = """titles AS (
          CASE lang WHEN 'en' THEN 'movie' WHEN 'de' THEN 'tvSeries' WHEN 'fr' THEN 'tvEpisode' ELSE 'short' END AS kind,
          substring(text, 1, 40) AS title, substring(text, 41, 40) AS original_title, doc_id % 50 = 49 AS is_adult,
          CASE WHEN doc_id % 10 <> 9 THEN CAST(1900 + n_chars % 120 AS INT) END AS start_year,
-         CASE WHEN doc_id % 10 <> 9 AND lang = 'de' THEN CAST(1905 + n_chars % 120 AS INT) END AS end_year
+         CASE WHEN doc_id % 10 <> 9 AND lang = 'de' THEN CAST(1905 + n_chars % 120 AS INT) END AS end_year,
+         CAST(n_chars % 200 AS INT) AS runtime_minutes, source AS genres
   FROM documents),
 akas AS (
   SELECT 'd' || doc_id AS id, o.ordering, substring(text, 51 + 30 * o.ordering, 30) AS title, lang AS region

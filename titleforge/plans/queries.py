@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,12 +84,28 @@ FILTERED: dict[str, list[tuple[str, Query]]] = {
     "rerank_jaro": [("j1", Q.parse("{sim:jaro} {movie} the erntre the this")), ("j2", Q.parse("{sim:jaro} {movie} and therhean is the"))],
     "rerank_jarowinkler": [("w1", Q.parse("{sim:jarowinkler} {movie} the erntre the this")), ("w2", Q.parse("{sim:jaro-winkler} {movie} and therhean is the"))],
     "exhaustive_levenshtein": [("x1", Q.parse("{scorer:none} {sim:levenshtein} {movie} the erntre the this")), ("x2", Q.parse("{scorer:none} {sim:levenshtein} {size:10} {movie} {votes:100-} to be is"))],
+    "exhaustive_jaro": [("z1", Q.parse("{scorer:none} {sim:jaro} {movie} the erntre the this")), ("z2", Q.parse("{scorer:none} {sim:jarowinkler} {size:10} {short} {year:1950-} esos de os"))],
     "exhaustive_filters": [("y1", Q.parse("{movie} {year:1950} {size:40}")), ("y2", Q.parse("{show:d7} {size:40}")), ("y3", Q.parse("{season:2} {size:15}")), ("y4", Q.parse("{scorer:none} {votes:2900-} any name"))],
 }
 
 
+def by_characters(queries: list[tuple[str, Query]]) -> bool:
+    """Whether DuckDB's measure counts bytes where the engine's counts characters: such queries are held to ASCII titles, on both sides before the ranking."""
+    return any(q.similarity in (Similarity.JARO, Similarity.JARO_WINKLER) for _, q in queries)
+
+
+def shown(found: DataFrame) -> DataFrame:
+    return found.select("qid", "rank", "id", "kind", "title", F.coalesce("start_year", F.lit(-1)).alias("start_year"), _SIX("score"))
+
+
 def _search(queries: list[tuple[str, Query]]) -> Run:
-    return lambda spark, sf: search(catalog(spark, sf, any(q.by_name for _, q in queries)), queries).select("qid", "rank", "id", "kind", "title", F.coalesce("start_year", F.lit(-1)).alias("start_year"), _SIX("score"))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        c = catalog(spark, sf, any(q.by_name for _, q in queries))
+        if by_characters(queries):
+            c = replace(c, titles=c.titles.filter(F.octet_length("title") == F.char_length("title")))
+        return shown(search(c, queries))
+
+    return run
 
 
 def _sql_bounds(col: str, r: Range) -> str:
@@ -118,6 +135,7 @@ def sql_search(queries: list[tuple[str, Query]]) -> str:
         where += [_sql_bounds("e.season", q.season)] if not q.season.open else []
         where += [_sql_bounds("e.episode", q.episode)] if not q.episode.open else []
         where += [f"e.tvshow_id = '{q.tvshow_id}'"] if q.tvshow_id is not None else []
+        where += ["strlen(t.title) = length(t.title)"] if by_characters(queries) else []
         if q.similarity is not Similarity.NONE:
             score = _sql_similarity(q.similarity, q.name)
         elif q.by_name:
@@ -135,22 +153,26 @@ def sql_search(queries: list[tuple[str, Query]]) -> str:
 
 # Self-retrieval for evaluation: the beginnings of some titles, whose answers are their own ids.
 def _truth(spark: SparkSession, sf: str) -> DataFrame:
-    t = titles(spark, sf).filter("not is_adult and kind = 'movie'").filter(F.substring("id", 2, 20).cast("long") < 30)
+    t = titles(spark, sf).filter("not is_adult and kind = 'movie'").filter(F.substring("id", 2, 20).cast("long") % 5 == 0)
     return t.select(F.col("id").alias("qid"), F.substring("title", 3, 18).alias("query"), F.col("id").alias("answer"))
 
 
 def _eval_ranks(spark: SparkSession, sf: str) -> DataFrame:
     truth = _truth(spark, sf)
     c = catalog(spark, sf)
-    found = search_names(truth.select("qid", F.col("query").alias("name")), c.index, Scorer.QUERY_RATIO, 30, 0.01, "best", 600)
+    found = search_names(truth.select("qid", F.col("query").alias("name")), c.index, Scorer.QUERY_RATIO)
     return E.answer_ranks(found.withColumn("score", F.round("score", 12)), truth).select("qid", "answer", "rank")
 
 
-_SQL_EVAL = f"""WITH {sql_scored(Scorer.QUERY_RATIO, queries="SELECT 'd' || doc_id, substring(text, 3, 18) FROM documents WHERE doc_id < 30 AND lang = 'en' AND doc_id % 50 <> 49")},
+def _answer_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return _eval_ranks(spark, sf).withColumn("rank", F.coalesce("rank", F.lit(-1)))
+
+
+_SQL_EVAL = f"""WITH {sql_scored(Scorer.QUERY_RATIO, queries="SELECT 'd' || doc_id, substring(text, 3, 18) FROM documents WHERE doc_id % 5 = 0 AND lang = 'en' AND doc_id % 50 <> 49")},
 cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS k FROM best) WHERE k <= 30),
 norm AS (SELECT qid, id, round(score / max(score) OVER (PARTITION BY qid), 12) AS score FROM cut),
 ties AS (SELECT *, count(*) OVER (PARTITION BY qid ORDER BY -score RANGE BETWEEN UNBOUNDED PRECEDING AND 1e-10 FOLLOWING) AS rank FROM norm),
-ranks AS (SELECT t.id AS qid, t.id AS answer, r.rank FROM shown t LEFT JOIN ties r ON r.qid = t.id AND r.id = t.id WHERE t.kind = 'movie' AND CAST(substring(t.id, 2) AS BIGINT) < 30)"""
+ranks AS (SELECT t.id AS qid, t.id AS answer, r.rank FROM shown t LEFT JOIN ties r ON r.qid = t.id AND r.id = t.id WHERE t.kind = 'movie' AND CAST(substring(t.id, 2) AS BIGINT) % 5 = 0)"""
 
 
 def _mrr(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,15 +201,76 @@ c AS (
 SELECT path, ext, form, trim(replace(raw, '.', ' ')) AS name, CASE WHEN form = 'episode' THEN CAST(s AS INT) ELSE -1 END AS season, CASE WHEN form = 'episode' THEN CAST(e AS INT) ELSE -1 END AS episode, CASE WHEN form = 'any' THEN CAST(y AS INT) ELSE -1 END AS year FROM c"""
 
 
-def _link(spark: SparkSession, sf: str) -> DataFrame:
-    """All paths of the first documents, linked: which title each becomes."""
-    p = _paths_of(spark, sf, 60)
-    return L.link(catalog(spark, sf), p, L.Linker(min_votes=0)).select("path", "form", "status", "id", "new_base")
+def _link_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of an eighth of the documents each: files of a title and year, files of a show's episode, files that say nothing, folders."""
+    t = titles(spark, sf).select("id", "kind", "start_year", F.substring("id", 2, 20).cast("long").alias("k"), F.regexp_replace("title", "[^A-Za-z0-9]+", ".").alias("t"))
+    e = episodes(spark, sf).select(F.col("id").alias("ep"), "tvshow_id", F.coalesce("season", F.lit(0)).alias("s"), F.coalesce("episode", F.lit(0)).alias("n"))
+    of = t.select(F.col("id").alias("tvshow_id"), F.col("t").alias("show"))
+    j = t.join(e, F.col("id") == F.col("ep"), "left").join(of, "tvshow_id", "left").withColumn("y", F.coalesce("start_year", F.lit(1800)))
+    base = F.when(F.col("k") % 8 == 1, F.format_string("%s.%d.avi", "t", "y")).when((F.col("k") % 8 == 2) & F.col("show").isNotNull(), F.format_string("%s.S%02dE%02d.1080p.mkv", "show", "s", "n")).when(F.col("k") % 8 == 3, F.format_string("%s.srt", "t")).when(F.col("k") % 8 == 4, F.format_string("%s.%d", "t", "y"))
+    return j.filter(base.isNotNull()).select(F.concat(F.lit("/in/"), "k", F.lit("/"), base).alias("path"), (F.col("k") % 8 == 4).alias("is_dir"))
 
 
-def _paths_of(spark: SparkSession, sf: str, n: int) -> DataFrame:
-    d = read(spark, sf, "documents").filter(F.col("doc_id") < n).select("doc_id", F.regexp_replace(F.substring("text", 1, 40), r"[\s.]+", ".").alias("t"), "n_chars")
-    return d.select(F.concat(F.lit("/in/"), F.format_string("%s.%d.avi", "t", 1900 + F.col("n_chars") % 120)).alias("path"), F.lit(False).alias("is_dir"))
+def _linked(spark: SparkSession, sf: str) -> DataFrame:
+    return L.link(catalog(spark, sf), _link_paths(spark, sf), L.Linker(min_votes=100))
+
+
+def _link(spark: SparkSession, sf: str) -> DataFrame:
+    """All paths, linked: which title each becomes."""
+    return _linked(spark, sf).select("path", "form", "status", "id", "new_base")
+
+
+_SQL_LINK_PATHS = r"""lt AS (SELECT id, CAST(substring(id, 2) AS BIGINT) AS k, start_year, regexp_replace(title, '[^A-Za-z0-9]+', '.', 'g') AS t FROM titles),
+lj AS (SELECT lt.*, s.t AS of_show, coalesce(e.season, 0) AS s, coalesce(e.episode, 0) AS n, coalesce(lt.start_year, 1800) AS y FROM lt LEFT JOIN episodes e ON e.id = lt.id LEFT JOIN lt s ON s.id = e.tvshow_id),
+lp AS (
+  SELECT '/in/' || k || '/' || b AS path, b AS base, k % 8 = 4 AS is_dir FROM (
+    SELECT k, CASE WHEN k % 8 = 1 THEN format('{}.{}.avi', t, y) WHEN k % 8 = 2 AND of_show IS NOT NULL THEN format('{}.S{:02d}E{:02d}.1080p.mkv', of_show, s, n) WHEN k % 8 = 3 THEN t || '.srt' WHEN k % 8 = 4 THEN format('{}.{}', t, y) END AS b FROM lj)
+  WHERE b IS NOT NULL),
+lm AS (SELECT *, nullif(regexp_extract(base, '[Ss]([0-9][0-9])', 1), '') AS ms, nullif(regexp_extract(base, '[Ee]([0-9]{2})', 1), '') AS me, nullif(regexp_extract(base, '\b([0-9]{4})\b', 1), '') AS my FROM lp),
+lf AS (SELECT *, CASE WHEN ms IS NOT NULL AND me IS NOT NULL THEN 'episode' WHEN my IS NOT NULL THEN 'any' ELSE 'unknown' END AS form, CASE WHEN NOT is_dir THEN nullif(regexp_extract(base, '^.+\.([^.]*)$', 1), '') END AS ext FROM lm),
+lc AS (
+  SELECT *, form || chr(31) || name || chr(31) || CASE WHEN form = 'any' THEN CAST(CAST(my AS INT) AS VARCHAR) ELSE '' END AS lqid FROM (
+    SELECT *, trim(replace(CASE form WHEN 'episode' THEN regexp_extract(base, '^(.*?)[Ss][0-9]{2}', 1) WHEN 'any' THEN regexp_extract(base, '^(.*?)\b[0-9]{4}\b', 1) END, '.', ' ')) AS name FROM lf))"""
+
+
+def sql_links(final: str) -> str:
+    """The paths, linked by search: CTE linked(path, is_dir, base, form, status, id, new_base), then ``final``."""
+    scored = sql_scored(Scorer.OKAPI_BM25, queries="SELECT DISTINCT lqid, name FROM lc WHERE form <> 'unknown'")
+    head = SQL_TITLES
+    return f"""WITH {head}, {_SQL_LINK_PATHS}, {scored[len(head) + 2 :]},
+deep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS k FROM best) WHERE k <= 1000),
+norm AS (SELECT qid, id, CASE WHEN max(score) OVER (PARTITION BY qid) > 0 THEN score / max(score) OVER (PARTITION BY qid) ELSE score END AS score FROM deep),
+passed AS (
+  SELECT n.* FROM norm n JOIN titles t USING (id) JOIN ratings r USING (id) JOIN (SELECT DISTINCT lqid, form, my FROM lc) c ON c.lqid = n.qid
+  WHERE r.votes >= 100 AND CASE WHEN c.form = 'episode' THEN t.kind IN ('tvSeries', 'tvMiniSeries') ELSE t.kind NOT IN ('tvEpisode', 'videoGame') AND (coalesce(t.start_year = CAST(c.my AS INT), FALSE) OR coalesce(t.end_year = CAST(c.my AS INT), FALSE)) END),
+unique_ AS (SELECT DISTINCT * FROM passed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM unique_),
+cut AS (SELECT qid, id, rank, CASE WHEN max(score) OVER (PARTITION BY qid) > 0 THEN score / max(score) OVER (PARTITION BY qid) ELSE score END AS score FROM ranked WHERE rank <= 30),
+lead_ AS (SELECT *, lead(score) OVER (PARTITION BY qid ORDER BY rank) AS second FROM cut),
+chosen AS (SELECT qid, CASE WHEN second IS NULL OR score - second >= 0.25 THEN id END AS id, second IS NOT NULL AND score - second < 0.25 AS ambiguous FROM lead_ WHERE rank = 1),
+numbered AS (SELECT tvshow_id, season, episode, min(id) AS ep FROM episodes GROUP BY ALL),
+target AS (
+  SELECT c.path, c.is_dir, c.base, c.form, c.ext, CAST(c.ms AS INT) AS s, CAST(c.me AS INT) AS n, coalesce(h.ambiguous, FALSE) AS ambiguous, CASE WHEN c.form = 'episode' THEN u.ep ELSE h.id END AS id
+  FROM lc c LEFT JOIN chosen h ON h.qid = c.lqid AND c.form <> 'unknown' LEFT JOIN numbered u ON c.form = 'episode' AND u.tvshow_id = h.id AND u.season = CAST(c.ms AS INT) AND u.episode = CAST(c.me AS INT)),
+linked AS (
+  SELECT g.path, g.is_dir, g.base, g.form, CASE WHEN ambiguous THEN 'ambiguous' WHEN t.kind IS NULL THEN 'none' ELSE 'auto' END AS status, g.id,
+         CASE WHEN NOT ambiguous AND t.kind IS NOT NULL THEN regexp_replace(CASE WHEN t.kind = 'tvEpisode' THEN format('S{{:02d}}E{{:02d}} - {{}}', s, n, t.title) WHEN t.start_year IS NOT NULL THEN t.title || ' (' || t.start_year || ')' ELSE t.title END, '[\\x00/]', '_', 'g') || CASE WHEN ext IS NOT NULL THEN '.' || ext ELSE '' END END AS new_base
+  FROM target g LEFT JOIN titles t ON t.id = g.id)
+{final}"""
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows, which are in order, with their place ``pos`` from 0: the order that an operator gives, where the rows alone wouldn't tell."""
+    return rows.coalesce(1).withColumn("pos", F.monotonically_increasing_id())
+
+
+def _proposed(spark: SparkSession, sf: str) -> DataFrame:
+    return numbered(L.proposals(_linked(spark, sf), check_exists=False))
+
+
+def _forced(spark: SparkSession, sf: str) -> DataFrame:
+    """All paths linked to the show d3, whatever they say: episodes through it, the others to itself."""
+    return L.link(catalog(spark, sf, indexed=False), _link_paths(spark, sf), L.Linker(force="d3")).select("path", "form", "status", "id", "new_base")
 
 
 def _choose(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,11 +359,13 @@ def queries() -> dict[str, Run]:
         "table_counts": lambda s, d: N.counts(catalog(s, d, indexed=False)),
         "show_display": _display,
         "eval_rank_ties": _part_ties,
-        "eval_answer_ranks": _eval_ranks,
+        "eval_answer_ranks": _answer_ranks,
         "eval_mrr": _mrr,
         "link_candidates": lambda s, d: L.candidates(_paths(s, d)).select("path", "ext", "form", "name", *[F.coalesce(x, F.lit(-1)).alias(x) for x in ("season", "episode", "year")]),
         "link_choose": _choose,
         "link_paths": _link,
+        "link_forced": _forced,
+        "link_proposals": _proposed,
         "dup_destination": _dup_destinations,
         "dedup_first_line": _first_line,
     }
@@ -312,10 +397,18 @@ def oracle_sql() -> dict[str, str]:
         "table_counts": f"WITH {SQL_TITLES} SELECT 'titles' AS name, count(*) AS n FROM titles UNION ALL SELECT 'akas', count(*) FROM akas UNION ALL SELECT 'episodes', count(*) FROM episodes UNION ALL SELECT 'ratings', count(*) FROM ratings",
         "show_display": f"WITH {SQL_TITLES}, f AS ({sql_search(show)}) SELECT f.qid, f.rank AS num, format('{{:.3f}}', f.score) AS score, f.id, f.kind, f.title, CASE WHEN f.start_year < 0 THEN 'N/A' ELSE CAST(f.start_year AS VARCHAR) END AS year, CASE WHEN s.title IS NOT NULL THEN format('S{{:02d}}E{{:02d}} {{}}', coalesce(e.season, 0), coalesce(e.episode, 0), s.title) ELSE '' END AS tv FROM f LEFT JOIN episodes e ON e.id = f.id AND f.kind = 'tvEpisode' LEFT JOIN titles s ON s.id = e.tvshow_id",
         "eval_rank_ties": "SELECT p_type AS qid, CAST(p_partkey AS VARCHAR) AS id, count(*) OVER (PARTITION BY p_type ORDER BY -(p_size / 50.0) RANGE BETWEEN UNBOUNDED PRECEDING AND 1e-10 FOLLOWING) AS tie_rank FROM part",
-        "eval_answer_ranks": f"{_SQL_EVAL} SELECT * FROM ranks",
+        "eval_answer_ranks": f"{_SQL_EVAL} SELECT qid, answer, coalesce(rank, -1) AS rank FROM ranks",
         "eval_mrr": f"{_SQL_EVAL} SELECT 'queryratio' AS name, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END), 6) AS found FROM ranks",
         "link_candidates": f"WITH {_SQL_PATHS}",
         "link_choose": f"WITH r AS ({sql_names(Scorer.OKAPI_BM25)}), l AS (SELECT *, lead(score) OVER (PARTITION BY qid ORDER BY rank) AS second FROM r) SELECT qid, CASE WHEN second IS NULL OR score - second >= 0.25 THEN id END AS id, CASE WHEN second IS NULL OR score - second >= 0.25 THEN 'auto' ELSE 'ambiguous' END AS status FROM l WHERE rank = 1",
+        "link_paths": sql_links("SELECT path, form, status, id, new_base FROM linked"),
+        "link_proposals": sql_links("SELECT src, dst, row_number() OVER (ORDER BY length(dst) DESC, dst) - 1 AS pos FROM (SELECT path AS src, substring(path, 1, length(path) - length(base)) || new_base AS dst FROM linked WHERE status = 'auto') WHERE src <> dst"),
+        "link_forced": f"""WITH {SQL_TITLES}, {_SQL_LINK_PATHS}, series AS (SELECT kind IN ('tvSeries', 'tvMiniSeries') AS series FROM titles WHERE id = 'd3'),
+u AS (SELECT season, episode, min(id) AS ep FROM episodes WHERE tvshow_id = 'd3' GROUP BY ALL),
+g AS (SELECT c.*, CASE WHEN c.form <> 'episode' THEN 'd3' WHEN series THEN u.ep END AS id FROM lc c CROSS JOIN series LEFT JOIN u ON c.form = 'episode' AND u.season = CAST(c.ms AS INT) AND u.episode = CAST(c.me AS INT))
+SELECT path, form, CASE WHEN t.id IS NULL THEN 'none' ELSE 'auto' END AS status, g.id,
+       CASE WHEN t.id IS NOT NULL THEN regexp_replace(CASE WHEN t.kind = 'tvEpisode' THEN format('S{{:02d}}E{{:02d}} - {{}}', coalesce(CAST(ms AS INT), 0), coalesce(CAST(me AS INT), 0), t.title) WHEN t.start_year IS NOT NULL THEN t.title || ' (' || t.start_year || ')' ELSE t.title END, '[\\x00/]', '_', 'g') || CASE WHEN ext IS NOT NULL THEN '.' || ext ELSE '' END END AS new_base
+FROM g LEFT JOIN titles t ON t.id = g.id""",
         "dup_destination": f"WITH {SQL_TITLES}, d AS (SELECT regexp_replace(title || CASE WHEN start_year IS NULL THEN '' ELSE ' (' || start_year || ')' END, '[\\x00/]', '_', 'g') || '.mkv' AS dst FROM titles WHERE kind <> 'tvEpisode') SELECT dst, count(*) AS n FROM d GROUP BY dst HAVING count(*) > 1",
         "dedup_first_line": "SELECT p_name, p_brand, p_type FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_name || chr(9) || p_brand || chr(9) || p_type) AS k FROM (SELECT p_name, p_brand, p_type FROM part)) WHERE k = 1",
     }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, replace
 
-from titleforge.errors import NumberError, UnknownDirective
+from titleforge.errors import ConfigError, NumberError, UnknownDirective
 from titleforge.functions.scoring import Scorer
 from titleforge.functions.similarity import Similarity
 from titleforge.schema import KIND_BY_NAME, parse_kind
@@ -169,6 +170,11 @@ class Query:
         return " ".join(parts + ([self.name] if self.name else []))
 
     def to_json(self) -> str:
-        return str(self)
+        return json.dumps(str(self), ensure_ascii=False)
 
-    from_json = parse
+    @classmethod
+    def from_json(cls, text: str) -> "Query":
+        value = json.loads(text)
+        if not isinstance(value, str):
+            raise ConfigError(f"a query is a JSON string, not {text!r}")
+        return cls.parse(value)

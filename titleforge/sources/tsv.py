@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def read_raw(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).options(sep="\t", header=True, quote="", escape="", nullValue="\\N", enforceSchema=False).csv(path)
 
 
+def write_raw(raw: DataFrame, path: str) -> None:
+    """A raw table as text that read_raw reads: null is \\N, and no field may hold a tab or a line's end."""
+    raw.write.mode("overwrite").options(sep="\t", header=True, quote="", escape="", nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
 def number(c: str) -> Column:
     """An unsigned number; null for anything else."""
     return F.expr(f"try_cast(case when {c} rlike '^[0-9]+$' then {c} end as int)")
@@ -64,5 +70,21 @@ def read_table(spark: SparkSession, data_dir: str, name: str, dedup_first_column
     """A table of a folder, one row for each natural key (or, on demand, for each value of the first column)."""
     path = os.path.join(data_dir, FILES[name])
     path = path if os.path.exists(path) or not os.path.exists(path + ".gz") else path + ".gz"
+    if path.startswith("/") and not os.path.exists(path):
+        raise DataError(f"there is no file {path}")
     raw = read_raw(spark, path, _RAW[name])
     return typed(name, first_lines(raw, _KEYS[name][:1] if dedup_first_column else _KEYS[name]), strict)
+
+
+def rewrite(spark: SparkSession, data_dir: str, name: str) -> None:
+    """A table's file without lines that repeat a key, in the order of its lines. The old one is replaced when the new one is whole."""
+    path = os.path.join(data_dir, FILES[name])
+    old = path if os.path.exists(path) else path + ".gz"
+    raw = first_lines(read_raw(spark, old, _RAW[name]), _KEYS[name])
+    write_raw(raw.orderBy(*_KEYS[name]).coalesce(1), path + ".new")
+    (part,) = [f for f in os.listdir(path + ".new") if f.startswith("part-")]
+    os.replace(os.path.join(path + ".new", part), path + ".tmp")
+    shutil.rmtree(path + ".new")
+    if os.path.isdir(path):
+        shutil.rmtree(path)
+    os.replace(path + ".tmp", path)
