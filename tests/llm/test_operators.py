@@ -3,6 +3,7 @@ import json
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -84,23 +85,38 @@ def brute_lines(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("max_bits", [1 << 28, 1 << 17])
-def test_lines(spark, max_bits):
+@pytest.mark.parametrize("block_bits", [31, 17])
+def test_lines(spark, block_bits):
     rng = random.Random(5)
-    rows = [(k, "\n".join(rng.choice(["same", " same ", "", f"u{k}", f"v{rng.randint(0, 9)}", "tail\r"]) for _ in range(rng.randint(1, 8))), "en", "s") for k in range(60)] + [x for x in ODD if x[0] is not None or x[1] is None]
+    rows = [(k, "\n".join(rng.choice(["same", " same ", "", f"u{k}", f"v{rng.randint(0, 9)}", "tail\r", "\té ", "\n"]) for _ in range(rng.randint(1, 8))), "en", "s") for k in range(60)] + [x for x in ODD if x[0] is not None or x[1] is None]
     d = docs(spark, rows).repartition(5)
-    got = linededup.dedup_lines(d, max_bits=max_bits).select("row.doc_id", "clean", "n_lines", "n_removed")
+    got = linededup.dedup_lines(d, block_bits=block_bits).select("row.doc_id", "clean", "n_lines", "n_removed")
     assert Counter(collect(got)) == brute_lines(rows)
+    texts = linededup.dedup_lines(d.filter("doc_id is not null").withColumn("doc_id", F.format_string("%05d", "doc_id")), block_bits=block_bits)
+    assert Counter((int(r[0]), *r[1:]) for r in texts.select("row.doc_id", "clean", "n_lines", "n_removed").collect()) == brute_lines([r for r in rows if r[0] is not None])
     out = linededup.stage(d)
-    assert out.columns == d.columns and linededup.stage(d.limit(0)).count() == 0
+    assert out.columns == d.columns and linededup.stage(d.limit(0)).count() == 0 and linededup.dedup_lines(d.limit(0), block_bits=block_bits).count() == 0
 
 
 def test_full_filter_changes_nothing(spark):
     d = docs(spark, [(k, f"line {k % 700}\nother {k}", "en", "s") for k in range(3000)])
-    full = linededup.dedup_lines(d, max_bits=1 << 17, bits_per_line=1)
-    free = linededup.dedup_lines(d)
-    cols = ["row.doc_id", "clean", "n_removed"]
-    assert Counter(collect(full.select(*cols))) == Counter(collect(free.select(*cols)))
+    full = linededup.twice_seen(d.select(F.col("text").alias("t")), 1 << 16, 3, 1 << 31).collect()
+    assert sum(int(x).bit_count() for x in full[0][1]) > 100
+    linededup.filter_bits, keep = lambda n, b: 1 << 16, linededup.filter_bits
+    try:
+        got = Counter(collect(linededup.dedup_lines(d).select("row.doc_id", "clean", "n_lines", "n_removed")))
+    finally:
+        linededup.filter_bits = keep
+    assert got == brute_lines([(k, f"line {k % 700}\nother {k}") for k in range(3000)])
+
+
+def test_a_million_lines_in_a_document(spark):
+    n = 1_000_000
+    text = "\n".join(f"line {k % 1000}" if k % 2 else f"own {k}" for k in range(n))
+    d = docs(spark, [(1, text, "en", "s"), (2, "line 1\nown 0\nnew", "en", "s")])
+    began = time.time()
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(d).select("row.doc_id", "n_lines", "n_removed", F.length("clean").alias("size")).collect()}
+    assert time.time() - began < 60 and got[1]["n_lines"] == n and got[1]["n_removed"] == n // 2 - 500 and got[2]["n_removed"] == 2 and got[2]["size"] == 3
 
 
 # --- 9: leaks

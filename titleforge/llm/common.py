@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI (local, or any that Arrow knows) and the path in it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,9 +78,20 @@ def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
     return df.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in columns])
 
 
-def doc_key(doc_id: Column, text_hash: Column) -> Column:
+def id_type(docs: DataFrame, id_col: str) -> T.DataType:
+    """What ids are compared as: whole numbers as such, ids of any other type by their text."""
+    kind = docs.schema[id_col].dataType
+    return T.LongType() if isinstance(kind, (T.IntegralType, T.NullType)) else T.StringType()
+
+
+def id_of(docs: DataFrame, id_col: str) -> Column:
+    return F.col(f"`{id_col}`").cast(id_type(docs, id_col))
+
+
+def doc_key(doc_id: Column, text_hash: Column, kind: T.DataType = T.LongType()) -> Column:
     """A struct whose order is: rows with an id first, by id, then by the hash of the text."""
-    return F.struct(doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(_HIGH)).alias("id"), text_hash.alias("th"))
+    none = F.lit(_HIGH) if isinstance(kind, T.LongType) else F.lit("")
+    return F.struct(doc_id.isNull().alias("no_id"), F.coalesce(doc_id, none).alias("id"), text_hash.alias("th"))
 
 
 def key_id(key: Column) -> Column:

@@ -16,20 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from titleforge.llm.common import cut, shared_dir, ship
+from titleforge.llm.common import cut, file_system, shared_dir, ship
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _INDEX = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("temporary", T.StringType())])
 _NEVER = 2**63 - 1
 
 
-def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI (local, or any that Arrow knows) and the path in it."""
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
