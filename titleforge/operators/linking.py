@@ -114,7 +114,7 @@ def proposals(linked: DataFrame, dest_dir: str | None = None, action: str = "ren
         src = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit(os.getcwd() + "/"), F.col("path"))) if absolute else F.col("path")
     folder = F.lit(dest_dir) if dest_dir is not None else F.col("parent")
     dst = F.when(folder == "", F.col("new_base")).otherwise(F.concat(folder, F.lit("/"), F.col("new_base")))
-    p = linked.filter("status = 'auto'").select(src.alias("src"), dst.alias("dst"), "is_dir").filter("src <> dst")
+    p = linked.filter("status = 'auto'").select(src.alias("src"), dst.alias("dst"), "is_dir").filter("src <> dst").persist()  # looked at four times
     twice = duplicate_destinations(p).head(1)
     if twice:
         raise LinkError(f"several files would become {twice[0]['dst']!r}")
