@@ -181,6 +181,8 @@ def test_near_duplicates_are_those_of_brute_force(spark):
             least[find(i)] = min(least.get(find(i), 1 << 62), r[0])
     want = {(r[0], least[find(i)], size[find(i)]) for i, r in enumerate(rows) if has[i] and r[0] is not None}
     assert {(r[0], r[2], r[4]) for r in got if not r[1] and r[0] not in (1, 2, 5)} >= {w for w in want if w[0] not in (1, 2, 5)}
+    other = simhash.near_duplicates(d, scheme=simhash.Scheme(3, 4)).select("key.id", "key.no_id", "kept.id", "n", "n_group").collect()
+    assert Counter(map(tuple, other)) == Counter(map(tuple, got))
     out = simhash.stage(d)
     assert out.columns == d.columns
     kept = Counter(r["doc_id"] for r in out.select("doc_id").collect())
@@ -193,7 +195,7 @@ def test_near_duplicates_are_those_of_brute_force(spark):
 def test_equal_rows_leave_one(spark):
     d = docs(spark, [(7, "one two three four", "en", "s")] * 3 + [(8, "five six seven eight nine", "en", "s"), (None, "ten eleven twelve", "en", "s"), (None, "ten eleven twelve", "en", "s")])
     assert sorted(map(str, (r["doc_id"] for r in simhash.stage(d).collect()))) == ["7", "8", "None"]
-    assert simhash.groups(d).filter("duplicate").count() == 3
+    assert simhash.groups(d.withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))).filter("duplicate").count() == 3
 
 
 def test_components(spark):

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,8 +63,10 @@ def test_fingerprints():
         assert fp[i].tolist() == fingerprint(texts[i])
 
 
-def test_block_edges_join_what_brute_force_joins():
+@pytest.mark.parametrize("shape", [(6, 3), (3, 4), (2, 2)])
+def test_block_edges_join_what_brute_force_joins(shape):
     rng = np.random.default_rng(1)
+    own = simhash.Scheme(*shape)
     for small in (4, 256):
         simhash.SMALL, keep = small, simhash.SMALL
         base = rng.integers(0, 1 << 63, size=(6, 2)).astype(np.uint64)
@@ -73,10 +76,18 @@ def test_block_edges_join_what_brute_force_joins():
                 r[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
         fp = np.unique(fp, axis=0)
         close = {(tuple(x), tuple(y)) for i, x in enumerate(fp) for y in fp[i + 1 :] if sum(int(v).bit_count() for v in x ^ y) <= simhash.MAX_BITS}
-        keys = [(t, half, i, j) for t, (half, (i, j)) in enumerate((h, p) for h in range(2) for p in simhash._PAIRS)]
-        piece = lambda x, i: x >> simhash._PIECES[i][0] & simhash._PIECES[i][1]
-        rows = sorted(((t << simhash.KEY_BITS) | piece(int(r[half]), i) * 128 | piece(int(r[half]), j), int(r[0]), int(r[1])) for r in fp for t, half, i, j in keys)
-        e = simhash.block_edges(*(np.array(c, dtype=np.int64 if k == 0 else np.uint64) for k, c in enumerate(zip(*rows))))
+        rows = []
+        for r in fp:
+            x = int(r[0]) | int(r[1]) << 64
+            for t, (i, c) in enumerate(own.tables):
+                key, at = t << simhash.KEY_BITS, 0
+                for k in c:
+                    lo, hi = own.pieces[i][k]
+                    key |= (x >> lo & ((1 << (hi - lo)) - 1)) << at
+                    at += hi - lo
+                rows.append((key, int(r[0]), int(r[1])))
+        rows.sort()
+        e = simhash.block_edges(*(np.array(c, dtype=np.int64 if k == 0 else np.uint64) for k, c in enumerate(zip(*rows))), own)
         simhash.SMALL = keep
         e = np.concatenate(e, axis=1)
         found = {tuple(sorted(((int(a), int(b)), (int(c), int(d))))) for a, b, c, d in e.T}
@@ -86,6 +97,11 @@ def test_block_edges_join_what_brute_force_joins():
             assert found == want and e.shape[1] == len(want)
 
 
+def test_schemes_follow_the_number():
+    assert [(s.parts, s.equal) for s in map(simhash.Scheme.of, (10, 10**6, 2 * 10**7, 10**8, 10**10))] == [(6, 3), (6, 3), (6, 4), (3, 4), (3, 6)]
+    assert all(simhash.Scheme(*c).width <= simhash.KEY_BITS for c in simhash.CHOICES)
+
+
 def parts(edges):
     root = {}
 

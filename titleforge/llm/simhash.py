@@ -12,17 +12,86 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titleforge.llm import textvec as tv
-from titleforge.llm.common import cut, doc_key, key_id, packed, ship, unpacked
+from titleforge.llm.common import cut, doc_key, id_of, id_type, key_id, packed, ship, unpacked
 
-#: Two fingerprints of 128 bits are close if they differ in at most MAX_BITS bits. Then one half at least differs in at
-#: most 8, which touch at most 8 of its 10 pieces: pairs of pieces of a half are the blocks.
-MAX_BITS = 17
+#: Two fingerprints of 128 bits are close if they differ in at most MAX_BITS bits.
+MAX_BITS, WIDTH = 17, 128
 LANE = 60_000
 _LANES = np.array([sum((v >> k & 1) << (16 * k) for k in range(4)) for v in range(16)], dtype=np.uint64)
-_CUTS = (0, 7, 14, 21, 28, 34, 40, 46, 52, 58, 64)
-_PIECES = [(lo, (1 << (hi - lo)) - 1) for lo, hi in zip(_CUTS, _CUTS[1:])]
-_PAIRS = list(combinations(range(len(_PIECES)), 2))
-KEY_BITS = 14
+KEY_BITS = 26
+#: (parts, equal) of the block tables to choose from, and about what a row in a table and a comparison take, in seconds.
+CHOICES = ((6, 3), (6, 4), (3, 4), (3, 5), (3, 6))
+ROW_S, PAIR_S = 2e-6, 5e-9
+
+
+class Scheme:
+    """Block tables in which all close pairs meet, by the pigeonhole principle twice over.
+
+    The bits are cut into ``parts``; two close fingerprints differ in few bits of one part at least: in at most t_i bits
+    of part i for some i, as the sum of all (t_i + 1) is MAX_BITS + 1. Part i is cut into t_i + ``equal`` pieces, of which
+    those bits touch t_i at most, so ``equal`` pieces are the same. Each choice of so many pieces of a part is a table.
+    More equal pieces make longer keys: more tables, fewer comparisons. All schemes find the same pairs.
+    """
+
+    def __init__(self, parts: int, equal: int):
+        self.parts, self.equal = parts, equal
+        bound = lambda k, n, lo, hi: lo + (hi - lo) * k // n
+        most = [(MAX_BITS + 1) // parts - 1 + (i < (MAX_BITS + 1) % parts) for i in range(parts)]
+        self.pieces = []
+        for i, t in enumerate(most):
+            lo, hi = bound(i, parts, 0, WIDTH), bound(i + 1, parts, 0, WIDTH)
+            self.pieces.append([(bound(k, t + equal, lo, hi), bound(k + 1, t + equal, lo, hi)) for k in range(t + equal)])
+        self.tables = [(i, c) for i, p in enumerate(self.pieces) for c in combinations(range(len(p)), equal)]
+        self.width = max(sum(self.pieces[i][k][1] - self.pieces[i][k][0] for k in c) for i, c in self.tables)
+        self.load = sum(2.0 ** -sum(self.pieces[i][k][1] - self.pieces[i][k][0] for k in c) for i, c in self.tables)
+        self.first = []
+        for i, p in enumerate(self.pieces):
+            masks, first = np.arange(1 << len(p)), np.full(1 << len(p), len(self.tables))
+            for t, c in reversed([(t, c) for t, (j, c) in enumerate(self.tables) if j == i]):
+                m = sum(1 << k for k in c)
+                first[masks & m == m] = t
+            self.first.append(first)
+
+    @classmethod
+    def of(cls, n: int) -> "Scheme":
+        """The scheme that takes the least time for n fingerprints."""
+        return min((cls(*c) for c in CHOICES), key=lambda s: n * len(s.tables) * ROW_S + n * n / 2 * s.load * PAIR_S)
+
+    def keys(self, a, b) -> list:
+        """The keys of a fingerprint, as column expressions of its halves (a: bits 0 to 63)."""
+
+        def piece(lo: int, hi: int):
+            if lo >= 64:
+                x = F.shiftrightunsigned(b, lo - 64)
+            elif hi <= 64:
+                x = F.shiftrightunsigned(a, lo)
+            else:
+                x = F.shiftrightunsigned(a, lo).bitwiseOR(F.shiftleft(b, 64 - lo))
+            return x.bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+
+        out = []
+        for t, (i, c) in enumerate(self.tables):
+            key, at = F.lit(t << KEY_BITS).cast("long"), 0
+            for k in c:
+                lo, hi = self.pieces[i][k]
+                key = key.bitwiseOR(F.shiftleft(piece(lo, hi), at))
+                at += hi - lo
+            out.append(key)
+        return out
+
+    def first_table(self, xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
+        """The first of the tables in which a pair meets, by the differences of its halves."""
+        best = np.full(len(xa), len(self.tables))
+        for p, first in zip(self.pieces, self.first):
+            mask = np.zeros(len(xa), dtype=np.int64)
+            for k, (lo, hi) in enumerate(p):
+                m = ((1 << hi) - 1) ^ ((1 << lo) - 1)
+                same = ((xa & np.uint64(m & (2**64 - 1))) == 0) & ((xb & np.uint64(m >> 64)) == 0)
+                mask |= same.astype(np.int64) << k
+            best = np.minimum(best, first[mask])
+        return best
+
+
 _FP = T.StructType([T.StructField("id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _EDGE = T.StructType([T.StructField(c, T.LongType()) for c in ("a1", "b1", "a2", "b2")])
 
@@ -62,28 +131,10 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), a, b], ["id", "th", "a", "b"])
 
 
-def _equal_pieces(x: np.ndarray) -> np.ndarray:
-    """A bit mask of the pieces of each word that are zero."""
-    mask = np.zeros(len(x), dtype=np.int64)
-    for k, (lo, m) in enumerate(_PIECES):
-        mask |= (((x >> np.uint64(lo)) & np.uint64(m)) == 0).astype(np.int64) << k
-    return mask
-
-
-#: By mask of equal pieces: the first pair of equal pieces, the number of pairs if there is none.
-_FIRST = np.array([next((t for t, (i, j) in enumerate(_PAIRS) if m >> i & 1 and m >> j & 1), len(_PAIRS)) for m in range(1 << len(_PIECES))])
-
-
-def _first_table(xa: np.ndarray, xb: np.ndarray) -> np.ndarray:
-    """The first of the 90 block tables in which a pair meets, by the differences of its halves."""
-    t = _FIRST[_equal_pieces(xa)]
-    return np.where(t < len(_PAIRS), t, len(_PAIRS) + _FIRST[_equal_pieces(xb)])
-
-
 SMALL = 256
 
 
-def block_edges(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+def block_edges(key: np.ndarray, a: np.ndarray, b: np.ndarray, scheme: Scheme) -> list[np.ndarray]:
     """Edges between close fingerprints within runs of equal key; of a large run, a spanning forest of its close pairs."""
     edges: list[np.ndarray] = []
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -96,7 +147,7 @@ def block_edges(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarra
         xa, xb = a[rows] ^ a[rows + d], b[rows] ^ b[rows + d]
         hit = np.flatnonzero(np.bitwise_count(xa).astype(np.int16) + np.bitwise_count(xb) <= MAX_BITS)
         if len(hit):
-            hit = hit[_first_table(xa[hit], xb[hit]) == key[rows[hit]] >> KEY_BITS]  # else the pair is found in another table
+            hit = hit[scheme.first_table(xa[hit], xb[hit]) == key[rows[hit]] >> KEY_BITS]  # else the pair is found in another table
             i, j = rows[hit], rows[hit] + d
             edges.append(np.stack([a[i], b[i], a[j], b[j]]))
         d += 1
@@ -116,12 +167,12 @@ def block_edges(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarra
     return edges
 
 
-def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edge_batches(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; the last run of a batch waits for the next."""
     wait: list[list[np.ndarray]] = []
 
     def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        edges = block_edges(*cols)
+        edges = block_edges(*cols, scheme)
         if edges:
             e = np.concatenate(edges, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in e], _EDGE.names)
@@ -170,32 +221,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select("u", F.col("v").alias("root")).union(e.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None) -> DataFrame:
     """(key, n, kept, n_group) of every distinct (doc_id, text): its number of rows, the key that stays of its group, the group's rows.
 
     Groups are the connected components of "fingerprints differ in at most MAX_BITS of 128 bits"; equal fingerprints
-    are one node, whatever their number. Of a group, the lowest doc_id stays. Every fingerprint is in the 90 block
-    tables of 12 to 14-bit keys; blocks of up to SMALL fingerprints give all their close pairs, once each; larger ones a
+    are one node, whatever their number. Of a group, the lowest doc_id stays. Every fingerprint is in all block tables of
+    the ``scheme``, which is chosen by the number of fingerprints (counted first): the more there are, the longer the
+    keys; all schemes give the same pairs. Blocks of up to SMALL fingerprints give all their close pairs, once each; larger ones a
     spanning forest, which joins the same groups without a pair for every two of thousands of copies. Nothing is capped.
     Only ids, hashes and fingerprints are shuffled, never texts.
 
-    Defined cases: a text that is null or has no word is never a duplicate; rows without doc_id rank after all others,
-    by the hash of their text; rows equal in doc_id and text are copies of which one stays; extra columns are ignored;
-    an empty table gives an empty table.
+    Defined cases: a text that is null or has no word is never a duplicate; ids may be numbers or texts; rows without
+    doc_id rank after all others, by the hash of their text; rows equal in doc_id and text are copies of which one stays;
+    extra columns are ignored; an empty table gives an empty table.
     """
     ship(docs.sparkSession)
-    text = F.col(f"`{text_col}`")
-    fp = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).mapInArrow(_fingerprint_batches, _FP)
+    text, kind = F.col(f"`{text_col}`"), id_type(docs, id_col)
+    shape = T.StructType([T.StructField("id", kind), *_FP.fields[1:]])
+    fp = docs.select(id_of(docs, id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).mapInArrow(_fingerprint_batches, shape)
     rows = cut(fp.groupBy("a", "b", "id", "th").agg(F.count(F.lit(1)).alias("n")))
     node = F.when(F.col("a").isNotNull(), F.struct("a", "b"))
-    distinct = rows.filter(F.col("a").isNotNull()).select("a", "b").distinct()
-    piece = lambda c, i: F.shiftrightunsigned(c, _PIECES[i][0]).bitwiseAND(F.lit(_PIECES[i][1])).cast("int")
-    keys = [F.lit((half * len(_PAIRS) + t) << KEY_BITS) + piece(c, i) * 128 + piece(c, j) for half, c in enumerate("ab") for t, (i, j) in enumerate(_PAIRS)]
-    blocks = distinct.select(F.explode(F.array(*keys)).alias("key"), "a", "b").repartition("key").sortWithinPartitions("key")
-    edges = blocks.mapInArrow(_edge_batches, _EDGE).select(F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")).alias("u"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")).alias("v"))
+    distinct = cut(rows.filter(F.col("a").isNotNull()).select("a", "b").distinct())
+    own = scheme or Scheme.of(distinct.count())
+    blocks = distinct.select(F.explode(F.array(*own.keys(F.col("a"), F.col("b")))).alias("key"), "a", "b").repartition("key").sortWithinPartitions("key")
+    edges = blocks.mapInArrow(lambda batches: _edge_batches(batches, own), _EDGE).select(F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")).alias("u"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")).alias("v"))
     roots = components(edges).select(F.col("u.a").alias("ra"), F.col("u.b").alias("rb"), "root")
     joined = rows.join(roots, (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb")), "left")
-    key = doc_key(F.col("id"), F.col("th"))
+    key = doc_key(F.col("id"), F.col("th"), kind)
     alone = F.struct(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
     keyed = joined.select(key.alias("key"), "n", F.coalesce("root", node).alias("node"), alone.alias("none"))
     group = keyed.select("key", "n", F.struct(F.coalesce("node", "none").alias("node"), F.when(F.col("node").isNull(), F.col("key")).alias("own")).alias("g"))
@@ -215,7 +267,7 @@ def stage(docs: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
     gone = d.filter(F.col("key") != F.col("kept")).select(F.col("key").alias("gone"))
     twins = d.filter(F.col("key") == F.col("kept")).select(F.col("key").alias("twin"))
     small = (lambda x: F.broadcast(x)) if d.count() <= max_broadcast else (lambda x: x)
-    rows = packed(docs, key=doc_key(F.col("doc_id"), F.xxhash64("text"))).join(small(gone), F.col("key") == F.col("gone"), "left_anti")
+    rows = packed(docs, key=doc_key(id_of(docs, "doc_id"), F.xxhash64("text"), id_type(docs, "doc_id"))).join(small(gone), F.col("key") == F.col("gone"), "left_anti")
     once = rows.join(small(twins), F.col("key") == F.col("twin"), "left_anti").select("row")
     if twins.isEmpty():
         return unpacked(rows, docs.columns)
