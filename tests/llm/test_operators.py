@@ -126,7 +126,7 @@ def test_leaks(spark):
     rows = [(10, "Start. " + item.upper() + " End here.", "en", "s"), (11, "nothing of it", "en", "s"), (12, "alpha beta gamma delta epsilon zeta eta", "en", "s"), (13, "  Five %%% short&&& words; are ENOUGH", "en", "s"), (14, " ".join(["pad"] * 40) + " " + item, "en", "s"), (14, "x y alpha beta gamma delta epsilon zeta eta theta z " + "w " * 20, "en", "s"), (15, "É " * 30 + item + " ça", "fr", "s")] + ODD
     d = docs(spark, rows)
     grams = decontam.benchmark_grams([item, "five short words are enough", "too short", None, ""], 8, 5)
-    for bound in (10_000, 1):
+    for bound in (10_000, 0):
         got = decontam.find_leaks(d, bench, max_broadcast=bound).select("row.doc_id", "row.text", "clean", "n_hits", "n_removed", "contaminated", "dropped").collect()
         assert len(got) == len(rows)
         for r in got:
@@ -147,6 +147,26 @@ def test_leaks(spark):
     assert decontam.find_leaks(d, bench.limit(0)).filter("contaminated").count() == 0 and decontam.find_leaks(d.limit(0), bench).count() == 0
 
 
+def test_leaks_in_other_scripts_and_cases(spark):
+    items = ["οδος alpha beta gamma delta epsilon zeta eta theta", "istanbul one two three four five six seven", "一二三四五六七八九十", "dash one two three four five six seven eight"]
+    texts = ["ΟΔΟΣ alpha beta gamma delta epsilon zeta eta theta " + "x " * 20, "İstanbul one two three four five six seven" + " y" * 30, "前" * 30 + "一二三四五六七八九十" + "後" * 30, "“dash\u2014one\u00a0two three… four—five six\u3000seven eight”" + " z" * 30]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = docs(spark, [(k, t, "en", "s") for k, t in enumerate(texts)] + [(9, texts[2], "zh", "s")])
+    cols = ["row.doc_id", "clean", "n_hits", "n_removed", "contaminated", "dropped"]
+    got = {r["doc_id"]: r for r in decontam.find_leaks(d, bench).select(*cols).collect()}
+    assert Counter(map(tuple, got.values())) == Counter(map(tuple, decontam.find_leaks(d, bench, max_broadcast=0).select(*cols).collect()))
+    assert got[2]["n_hits"] == 3 and got[2]["n_removed"] == 10 and got[2]["clean"] == "前" * 30 + "後" * 30 and got[9]["n_hits"] == 3
+    assert got[3]["n_removed"] == 9 and got[1]["n_hits"] == 1 and got[0]["contaminated"]
+
+
+def test_a_long_text_of_hits_only(spark):
+    item = " ".join(f"word{k}" for k in range(60_000))
+    d = docs(spark, [(1, item, "en", "s"), (2, "pad " * 70_000 + item, "en", "s")])
+    began = time.time()
+    got = {r["doc_id"]: r for r in decontam.find_leaks(d, spark.createDataFrame([(1, item)], "item_id long, text string")).select("row.doc_id", "n_hits", "n_removed", "dropped", F.length("clean").alias("n")).collect()}
+    assert time.time() - began < 60 and got[1]["n_hits"] == 60_000 - 7 and got[1]["n"] == 0 and got[1]["dropped"] and got[2]["n_removed"] == 60_000 and got[2]["n"] == 280_000 and not got[2]["dropped"]
+
+
 # --- 6: near copies
 def test_near_duplicates_are_those_of_brute_force(spark):
     rng = random.Random(11)
