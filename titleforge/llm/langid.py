@@ -57,10 +57,9 @@ class Model:
         languages = {f: sorted(set(y[fam == f])) for f in families}
         pairs = [p for f in families for p in combinations(languages[f], 2)]
         z, factor = scaled(x) if n else (x, np.zeros(1 << BITS, dtype=np.float32))
-        k = gram(z)
         fits = []
         for positive, own in [(fam == f, np.ones(n, dtype=bool)) for f in families if len(families) > 1] + [(y == a, (y == a) | (y == b)) for a, b in pairs]:
-            alpha, bias = fit_svm(k[np.ix_(own, own)], np.where(positive[own], 1, -1))
+            alpha, bias = fit_svm(gram(z[own]), np.where(positive[own], 1, -1))
             fits.append(((alpha.astype(np.float32) @ z[own]) * factor, bias))
         return cls(families, languages, pairs, np.array([w for w, _ in fits], dtype=np.float32).reshape(len(fits), 1 << BITS), np.array([b for _, b in fits], dtype=np.float64))
 

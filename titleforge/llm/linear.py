@@ -36,8 +36,22 @@ def _descend(k: np.ndarray, slope, steps: int, l2: float, curvature: float) -> t
     return a, b
 
 
-def gram(z: np.ndarray) -> np.ndarray:
-    return (z @ z.T).astype(np.float64)
+class Products:
+    """The Gram matrix of rows that are too many for it: a product with a vector goes through the rows."""
+
+    def __init__(self, z: np.ndarray):
+        self.z = z
+
+    def __len__(self) -> int:
+        return len(self.z)
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return (self.z @ (v.astype(self.z.dtype) @ self.z)).astype(np.float64)
+
+
+def gram(z: np.ndarray, most: int = 4096):
+    """z @ z.T, or something that multiplies like it if z has more than ``most`` rows, so memory is linear in the rows."""
+    return (z @ z.T).astype(np.float64) if len(z) <= most else Products(z)
 
 
 def fit_svm(k: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
