@@ -125,5 +125,14 @@ def sample_by_class(rows: DataFrame, label: str, order: Column, per_class: int)
     return rows.withColumn("_order", order).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_class).drop("_order", "_rank")
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int) -> list:
+    """At most per_class rows (id, y, t) of each label 0 and 1, in an order that the data alone decide. Texts that are null or empty are left out."""
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1)).distinct()
+    chosen = sample_by_class(known, "y", F.xxhash64("id", F.lit(seed)), per_class)  # at most 2 * per_class ids, so it may be broadcast
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).filter(F.col("t") != "").join(F.broadcast(chosen), "id")
+    rows = sample_by_class(rows, "y", F.xxhash64("id", "t", F.lit(seed)), per_class)
+    return sorted(rows.withColumn("h", F.xxhash64("id", "t", F.lit(seed))).collect(), key=lambda r: (r["h"], str(r["id"]), r["y"], r["t"]))
+
+
 def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(name, kind)])

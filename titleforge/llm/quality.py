@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titleforge.llm import textvec as tv
-from titleforge.llm.common import packed, sample_by_class, ship
+from titleforge.llm.common import labelled_sample, packed, ship
 from titleforge.llm.linear import fit_logistic, gram, platt, scaled, sigmoid
 
 BITS, SIZES = 13, (2, 3)
@@ -66,11 +66,11 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model:
-    """Fit on at most per_class labelled documents of each quality, those whose hash of the id is least."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1)).distinct()
-    chosen = sample_by_class(known, "y", F.xxhash64("id", F.lit(29)), per_class)  # at most 2 * per_class rows, so it may be broadcast
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).filter(F.col("t") != "").join(F.broadcast(chosen), "id").collect()
-    rows.sort(key=lambda r: (hash((r["id"] * 0x9E3779B97F4A7C15) & (2**64 - 1)), r["y"], r["t"]))
+    """Fit on at most per_class labelled documents of each quality, those whose hash is least; ids may be numbers or texts.
+
+    The ids are bounded before the join, and the rows once more after it, as an id may have many rows.
+    """
+    rows = labelled_sample(docs, labels, "quality", per_class, 29)
     return Model.fit([r["t"] for r in rows], np.array([r["y"] for r in rows], dtype=np.float64))
 
 
