@@ -11,8 +11,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from titleforge.llm import chatfmt, decontam, hostrank, langid, linededup, mixing, quality, simhash, toxicity, warc
-from titleforge.llm.common import count_words, ship
+from titleforge.llm import chatfmt, decontam, hostrank, langid, linear, linededup, mixing, quality, simhash, toxicity, warc
+from titleforge.llm import textvec as tv
+from titleforge.llm.common import count_words, labelled_sample, ship
 from titleforge.llm.queries import queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -271,6 +272,63 @@ def test_quality(spark):
     assert quality.graded(d, labels.limit(0)).select(F.countDistinct("p_good")).first()[0] == 1 and quality.graded(d.limit(0), labels).count() == 0
 
 
+def test_the_sample_is_bounded_whatever_ids_repeat(spark):
+    rng = random.Random(15)
+    rows = [(7, f"row {k} of one id", "en", "s") for k in range(500)] + [(1000 + k, text_in("en", rng, 9), "en", "s") for k in range(50)]
+    labels = spark.createDataFrame([(7, 1, 0)] + [(1000 + k, k % 2, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    got = labelled_sample(docs(spark, rows), labels, "quality", 10, 29)
+    assert Counter(r["y"] for r in got) == {0: 10, 1: 10}
+    named = lambda d: d.withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))
+    assert quality.graded(named(docs(spark, rows)), named(labels)).count() == len(rows)
+
+
+def test_quality_scores_are_those_of_plain_loops(spark):
+    rng = random.Random(16)
+    texts = [text_in("en", rng, 20) for _ in range(8)] + ["", "ab", "One two, one two!", "é"]
+    y = np.array([k % 2 for k in range(len(texts))], dtype=float)
+    model = quality.Model.fit(texts, y)
+    got = model.predict(pa.array(texts))
+    for t, p in zip(texts, got):
+        raw = t.encode()
+        chars = []
+        for n in quality.SIZES:
+            for i in range(len(raw) - n + 1):
+                code = sum(raw[i + j] << (8 * j) for j in range(n)) + ((0xF8 + n) << 24)
+                chars.append(((code * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - quality.BITS))
+        w = np.concatenate([x.hash for x in tv.words(*tv.text_bytes(pa.array([t])))] + [np.zeros(0, dtype=np.uint64)])
+        pairs = [int(tv.mix(w[i : i + 1] ^ tv._GOLD)[0]) >> (64 - quality.BITS) for i in range(len(w))] + [int(tv.mix(w[i + 1 : i + 2] - w[i : i + 1] + np.uint64(7))[0]) >> (64 - quality.BITS) for i in range(len(w) - 1)]
+        score = model.bias + sum(float(model.chars[f]) for f in chars) / (len(chars) + quality.SHRINK) + sum(float(model.words[f]) for f in pairs) / (len(pairs) + quality.SHRINK)
+        want = 1 / (1 + np.exp(-(model.scale[0] * score + model.scale[1])))
+        assert (np.isnan(p) and not chars and not pairs) or abs(p - want) < 1e-5
+
+
+def test_languages_are_those_of_plain_loops():
+    rng = random.Random(17)
+    train = [(text_in(g, rng, 15), g) for _ in range(12) for g in WORDS]
+    m = langid.Model.fit([t for t, _ in train], [g for _, g in train])
+    texts = [text_in(g, rng, 6) for g in WORDS] + ["12 !", "", "Ünd NICHT"]
+    fam, lang, margin = m.predict(pa.array(texts))
+    for k, t in enumerate(texts):
+        raw = tv.latin_lower(np.frombuffer(t.encode(), dtype=np.uint8)).tobytes()
+        f = [(((sum(raw[i + j] << (8 * j) for j in range(n)) + ((0xF8 + n) << 24)) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - langid.BITS) for n in langid.SIZES for i in range(len(raw) - n + 1)]
+        s = [float(sum(float(w[x]) for x in f)) / max(1, len(f)) + b for w, b in zip(m.weights, m.bias)]
+        if not f or not any(c.isalpha() for c in t):
+            assert lang[k] == "und" and fam[k] is None
+            continue
+        best = max(range(2), key=lambda i: s[i])
+        (pair,) = [i for i, p in enumerate(m.pairs) if p[0] in m.languages[m.families[best]]]
+        assert fam[k] == m.families[best] and lang[k] == m.pairs[pair][0 if s[2 + pair] > 0 else 1]
+        assert abs(margin[k] - min(abs(s[0] - s[1]), 2 * abs(s[2 + pair]))) < 1e-6
+
+
+def test_products_are_those_of_the_matrix():
+    z = np.random.default_rng(2).normal(size=(40, 9))
+    y = np.where(z[:, 0] > 0, 1, -1)
+    a, b = linear.fit_svm(linear.gram(z), y)
+    c, d = linear.fit_svm(linear.gram(z, 10), y)
+    assert np.allclose(a, c) and abs(b - d) < 1e-9
+
+
 def test_calibration():
     rng = np.random.default_rng(0)
     s = rng.normal(size=4000)
@@ -303,6 +361,32 @@ def test_toxicity(spark):
     assert toxicity.flagged(d, labels.limit(0)).count() == 600 and toxicity.flagged(d.limit(0), labels).count() == 0
 
 
+def test_votes_and_scores_are_those_of_plain_loops(spark):
+    texts = ["you IDIOT and moron", "a clean text", "", None, "scum zlurpo", "idiots idiots"]
+    feature = lambda w: int(toxicity._hashes([w])[0] >> np.uint64(16))
+    voters = toxicity.Voters.build([(feature("zlurpo"), True)])
+    of = {w: k for k, lex in enumerate(toxicity.LEXICONS) for w in lex} | {"zlurpo": len(toxicity.LEXICONS) + int(tv.mix(np.array([feature("zlurpo")], dtype=np.uint64))[0] % np.uint64(10))}
+    want = [sum({1 << of[w] for w in re.findall("[a-z]+", (t or "").lower()) if w in of}) for t in texts]
+    assert voters.votes(pa.array(texts, pa.string())).tolist() == want
+    model = toxicity.Classifier(np.random.default_rng(4).normal(size=1 << toxicity.BITS).astype(np.float32), -0.5)
+    for t, p in zip(texts, model.predict(pa.array(texts, pa.string()))):
+        f = set()
+        for w in re.findall("[a-z]+", (t or "").lower()):
+            (own,) = list(tv.words(*tv.text_bytes(pa.array([w])), toxicity.PREFIXES))
+            f |= {int(h) >> 16 for h in [own.hash[0], *(x[0] for x in own.prefix)] if h}
+        score = -0.5 + sum(float(model.weights[int(tv.mix(np.array([x], dtype=np.uint64))[0]) >> (64 - toxicity.BITS)]) for x in f)
+        assert abs(p - (1 / (1 + np.exp(-score)) if t else 0.0)) < 1e-5
+
+
+def test_mined_words_come_from_all_labels(spark):
+    rng = random.Random(18)
+    rows = [(k, text_in("en", rng, 12) + (" vrelk" if k % 100 == 0 else " idiot" if k % 4 == 0 else ""), "en", "s") for k in range(1200)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(1200)], "doc_id long, quality int, toxic int")
+    mined = toxicity.mine(docs(spark, rows), labels)
+    f = int(toxicity._hashes(["vrelk"])[0] >> np.uint64(16))
+    assert (f, True) in mined and toxicity.mine(docs(spark, rows), labels, max_broadcast=0) == mined and toxicity.mine(docs(spark, rows), labels.limit(0)) == []
+
+
 def test_label_model_finds_accuracies_and_discounts_copies():
     rng = np.random.default_rng(3)
     y = rng.random(40_000) < 0.1

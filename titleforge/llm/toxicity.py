@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from titleforge.llm import textvec as tv
-from titleforge.llm.common import packed, sample_by_class, ship
+from titleforge.llm.common import cut, packed, sample_by_class, ship
 from titleforge.llm.linear import sigmoid
 
 #: Lexicon voters that need no data. Each list is one voter.
@@ -26,7 +26,7 @@ LEXICONS: tuple[tuple[str, ...], ...] = (
     ("imbécile", "crétin", "connard", "salaud", "minable", "ordure", "débile"),
     ("imbécil", "estúpido", "estúpida", "basura", "escoria", "payaso", "inútil", "asqueroso"),
 )
-PREFIXES = (4, 5, 7)  # bytes of a word's beginning that pattern voters look at
+PREFIXES = (4, 5, 6, 7, 8)  # bytes of a word's beginning that pattern voters look at
 MINED_WORDS, MINED_PREFIXES = 10, 10
 BITS = 18
 
@@ -74,40 +74,16 @@ class Voters:
     names: list[str]
 
     @classmethod
-    def build(cls, texts: list[str], toxic: np.ndarray, min_docs: int = 4, min_odds: float = 3.0) -> "Voters":
-        """The fixed lexicons, and lexicons and prefix patterns mined from a bounded labelled sample.
-
-        A word or prefix is mined if at least min_docs toxic documents have it, its smoothed odds are min_odds or
-        more, and its G statistic beats the chance of the best of as many features as were looked at. They are dealt
-        to voters by hash, so that no voter depends on one word.
-        """
+    def build(cls, mined: list[tuple[int, bool]] = ()) -> "Voters":
+        """The fixed lexicons, and words (True) and prefixes (False) mined from labels, dealt to voters by hash, so that no voter depends on one word."""
         by: dict[int, int] = {}
         names = [f"lexicon_{k}" for k in range(len(LEXICONS))]
         for k, lex in enumerate(LEXICONS):
             for h in _hashes(list(lex)):
                 by[int(h >> np.uint64(16))] = by.get(int(h >> np.uint64(16)), 0) | 1 << k
-        n_tox = int(toxic.sum())
-        if n_tox >= min_docs and n_tox < len(toxic):
-            feats = [[], []]
-            words = set()
-            data, offs = tv.text_bytes(pa.array(texts, pa.string()), lower=True)
-            for w in tv.words(data, offs):
-                words.update((w.hash >> np.uint64(16)).tolist())
-            for d0, d1, doc, f in distinct_features(pa.array(texts, pa.string())):
-                t = toxic[d0 + doc] > 0
-                feats[1].append(f[t])
-                feats[0].append(f[~t])
-            f1, c1 = np.unique(np.concatenate(feats[1]), return_counts=True)
-            f0, c0 = np.unique(np.concatenate(feats[0]), return_counts=True)
-            at = np.searchsorted(f0, f1)
-            clean = np.where((at < len(f0)) & (f0[np.minimum(at, max(0, len(f0) - 1))] == f1), c0[np.minimum(at, max(0, len(f0) - 1))], 0) if len(f0) else np.zeros(len(f1), int)
-            odds = np.log((c1 + 0.1) / (n_tox + 1)) - np.log((clean + 0.5) / (len(toxic) - n_tox + 1))
-            share = n_tox / len(toxic)
-            g = c1 * np.log(c1 / ((c1 + clean) * share)) + np.where(clean > 0, clean * np.log(np.maximum(clean, 1) / ((c1 + clean) * (1 - share))), 0)
-            for f in f1[(c1 >= min_docs) & (odds >= min_odds) & (g >= np.log(len(f1)) + 1)].tolist():
-                slot = int(tv.mix(np.array([f], dtype=np.uint64))[0] % np.uint64(10))
-                k = len(LEXICONS) + (slot if f in words else MINED_WORDS + slot)
-                by[f] = by.get(f, 0) | 1 << k
+        for f, is_word in mined:
+            slot = int(tv.mix(np.array([f], dtype=np.uint64))[0] % np.uint64(10))
+            by[f] = by.get(f, 0) | 1 << len(LEXICONS) + (slot if is_word else MINED_WORDS + slot)
         names += [f"words_{k}" for k in range(MINED_WORDS)] + [f"prefixes_{k}" for k in range(MINED_PREFIXES)]
         order = sorted(by)
         return cls(np.array(order, dtype=np.uint64), np.array([by[f] for f in order], dtype=np.int64), names)
@@ -265,43 +241,89 @@ class Classifier:
         return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str], np.ndarray]:
+_COUNT = T.StructType([T.StructField("f", T.LongType()), T.StructField("word", T.BooleanType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and clean texts each word and prefix is, a batch at a time."""
+    for b in batches:
+        y = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        data, offs = tv.text_bytes(b.column(0), lower=True)
+        found: dict[bool, list[list[np.ndarray]]] = {True: [[], []], False: [[], []]}
+        for w in tv.words(data, offs, PREFIXES):
+            pairs = _doc_features(w)
+            for word, own in ((True, pairs[:1]), (False, pairs[1:])):
+                doc = np.concatenate([p[0] for p in own]).astype(np.uint64)
+                key = np.unique((doc << np.uint64(48)) | (np.concatenate([p[1] for p in own]) >> np.uint64(16)))
+                toxic = y[w.d0 + (key >> np.uint64(48)).astype(np.int64)]
+                for side in (0, 1):
+                    found[word][side].append((key & np.uint64(0xFFFFFFFFFFFF))[toxic == bool(side)])
+        for word, (clean, toxic) in found.items():
+            if clean:
+                both = [np.unique(np.concatenate(x), return_counts=True) for x in (toxic, clean)]
+                f = np.union1d(both[0][0], both[1][0])
+                cols = [np.zeros(len(f), dtype=np.int64) for _ in both]
+                for col, (own, n) in zip(cols, both):
+                    col[np.searchsorted(f, own)] = n
+                yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int64)), pa.array(np.full(len(f), word)), *map(pa.array, cols)], _COUNT.names)
+
+
+def mine(docs: DataFrame, labels: DataFrame, min_docs: int = 4, min_odds: float = 3.0, max_broadcast: int = 5_000_000) -> list[tuple[int, bool]]:
+    """(feature, whether it is a word) that tell toxic documents, from counts over all labelled documents.
+
+    A word or prefix is mined if at least min_docs toxic documents have it, its smoothed odds are min_odds or more, and
+    its G statistic beats the chance of the best of as many features as toxic documents have. Labels are broadcast if they
+    are at most max_broadcast (counted first), else joined by shuffling.
+    """
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1)).distinct()
-    chosen = sample_by_class(known, "y", F.xxhash64("id", F.lit(31)), per_class)  # at most 2 * per_class rows, so it may be broadcast
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).filter(F.col("t").isNotNull()).join(F.broadcast(chosen), "id").collect()
-    rows.sort(key=lambda r: (r["id"], r["y"], r["t"]))
-    return [r["t"] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64)
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, per_posterior: int = 2000) -> tuple[Voters, LabelModel, Classifier]:
-    """Voters from at most per_class labelled rows a class; the label model from the votes on all documents; the
-    classifier from the posteriors of at most per_posterior documents each side of a half, those whose hash is least."""
+    known = F.broadcast(known) if known.count() <= max_broadcast else known
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).filter(F.col("t").isNotNull()).join(known, "id").select("t", "y")
+    n_toxic, n = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    if n_toxic < min_docs or n_toxic >= n:
+        return []
+    counts = cut(rows.mapInArrow(_count_batches, _COUNT).groupBy("f", "word").agg(F.sum("toxic").alias("c1"), F.sum("clean").alias("c0")).filter("c1 > 0"))
+    looked = counts.count()
+    c1, c0, share = F.col("c1"), F.col("c0"), F.lit(n_toxic / n)
+    odds = F.log((c1 + 0.1) / (n_toxic + 1)) - F.log((c0 + 0.5) / (n - n_toxic + 1))
+    g = c1 * F.log(c1 / ((c1 + c0) * share)) + F.when(c0 > 0, c0 * F.log(c0 / ((c1 + c0) * (F.lit(1.0) - share)))).otherwise(0.0)
+    best = counts.filter((c1 >= min_docs) & (odds >= min_odds) & (g >= float(np.log(max(1, looked)) + 1)))
+    return sorted((r["f"], r["word"]) for r in best.select("f", "word").collect())
+
+
+def train(docs: DataFrame, labels: DataFrame, per_posterior: int = 2000) -> tuple[Voters, LabelModel, Classifier]:
+    """Voters mined from all labelled documents; the label model from the votes on all documents; the classifier from the
+    posteriors of at most per_posterior documents each side of a half, those whose hash is least.
+
+    Of the votes the driver gets the number of documents of each pattern: 16 bytes a pattern that occurs.
+    """
     ship(docs.sparkSession)
-    texts, toxic = labelled_sample(docs, labels, per_class)
-    voters = Voters.build(texts, toxic)
+    voters = Voters.build(mine(docs, labels))
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
     @F.arrow_udf(T.LongType())
     def vote(t: pa.Array) -> pa.Array:
         return pa.array(shared.value.votes(t), pa.int64())
 
-    patterns = docs.select(vote(F.col("text")).alias("mask")).groupBy("mask").count().toLocalIterator()
-    table = [(r[0], r[1]) for r in patterns]
-    model = LabelModel.fit(np.array([r[0] for r in table], dtype=np.int64), np.array([r[1] for r in table], dtype=np.int64), len(voters.names))
-    masks = np.array([m for m, _ in table], dtype=np.int64)
-    toxic_masks = masks[model.posterior(masks) >= 0.5].tolist()
-    n_tox = sum(c for m, c in table if m in set(toxic_masks))
-    n_all = sum(c for _, c in table)
+    table = docs.select(vote(F.col("text")).alias("mask")).groupBy("mask").count().toArrow()
+    masks, counts = (table.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+    model = LabelModel.fit(masks, counts, len(voters.names))
+    toxic = model.posterior(masks) >= 0.5 if len(masks) else np.zeros(0, dtype=bool)
+    n_tox, n_all = int(counts[toxic].sum()), int(counts.sum())
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.DoubleType())
+    def posterior(mask: pa.Array) -> pa.Array:
+        return pa.array(known.value.posterior(mask.to_numpy(zero_copy_only=False).astype(np.int64)))
+
     share = {1: min(1.0, (2.0 * per_posterior + 50) / max(1, n_tox)), 0: min(1.0, (2.0 * per_posterior + 50) / max(1, n_all - n_tox))}
     order = F.xxhash64("t", F.lit(37))
     least = int(max(share.values()) * 1_000_000)
     near = docs.select(F.col("text").alias("t")).filter(F.col("t").isNotNull()).filter(F.pmod(order, F.lit(1_000_000)) <= least)
-    masked = near.withColumn("mask", vote.asNondeterministic()(F.col("t")))
-    sided = masked.withColumn("side", F.col("mask").isin(toxic_masks).cast("int")).filter(F.pmod(order, F.lit(1_000_000)) <= F.when(F.col("side") == 1, F.lit(share[1] * 1e6)).otherwise(F.lit(share[0] * 1e6)))
-    rows = sample_by_class(sided, "side", order, per_posterior).collect()
+    voted = near.withColumn("mask", vote.asNondeterministic()(F.col("t"))).withColumn("p", posterior.asNondeterministic()(F.col("mask")))
+    sided = voted.withColumn("side", (F.col("p") >= 0.5).cast("int")).filter(F.pmod(order, F.lit(1_000_000)) <= F.when(F.col("side") == 1, F.lit(share[1] * 1e6)).otherwise(F.lit(share[0] * 1e6)))
+    rows = sample_by_class(sided.select("t", "p", "side"), "side", order, per_posterior).collect()
     rows.sort(key=lambda r: r["t"])
-    soft = model.posterior(np.array([r["mask"] for r in rows], dtype=np.int64)) if rows else np.zeros(0)
-    return voters, model, Classifier.fit([r["t"] for r in rows], soft)
+    return voters, model, Classifier.fit([r["t"] for r in rows], np.array([r["p"] for r in rows], dtype=np.float64))
 
 
 def score(docs: DataFrame, classifier: Classifier, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
