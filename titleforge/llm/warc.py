@@ -15,6 +15,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from titleforge.llm.common import cut, file_system, shared_dir, ship
 
@@ -57,14 +58,20 @@ def _boundaries(pages: DataFrame, shard_bytes: int, per_shard: int) -> list[tupl
         return []
     share = min(1.0, per_shard * shards / n)
     h = F.pmod(F.xxhash64("url", "page_id", F.lit(5)), F.lit(1 << 30))
-    rows = pages.filter(h < F.lit(int(share * (1 << 30)))).select(F.coalesce("url", F.lit("")).alias("u"), F.coalesce("page_id", F.lit(_NEVER)).alias("i"), weight.alias("w")).collect()
-    keys = sorted((r["u"].encode(), r["i"], r["w"]) for r in rows)
-    step, out, done = sum(k[2] for k in keys) / shards, [], 0
-    for u, i, w in keys:
-        if done >= step * (len(out) + 1) and (not out or (u, i) > out[-1]):
-            out.append((u, i))
-        done += w
-    return out
+    key = F.struct(F.encode(F.coalesce("url", F.lit("")), "utf-8").alias("u"), F.coalesce(F.col("page_id").cast("long"), F.lit(_NEVER)).alias("i"))
+    sample = pages.filter(h < F.lit(int(share * (1 << 30)))).select(key.alias("key"), weight.alias("w")).groupBy("key").agg(F.sum("w").alias("w"))
+    ordered = cut(sample.orderBy("key").withColumn("part", F.spark_partition_id()))
+    sums = sorted((r[0], r[1]) for r in ordered.groupBy("part").agg(F.sum("w")).collect())
+    before, done = {}, 0
+    for part, w in sums:
+        before[part], done = done, done + w
+    step = done / shards
+    parts = pages.sparkSession.createDataFrame([(p, float(w)) for p, w in before.items()], "p int, before double")
+    upto = F.sum("w").over(Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    at = ordered.join(F.broadcast(parts), F.col("part") == F.col("p")).withColumn("upto", F.col("before") + F.coalesce(upto, F.lit(0)))
+    # The first key at or beyond each multiple of the step begins a range.
+    first = at.withColumn("slot", F.floor(F.col("upto") / F.lit(step))).filter("slot > 0").groupBy("slot").agg(F.min("key").alias("key"))
+    return sorted((bytes(r["key"]["u"]), r["key"]["i"]) for r in first.collect())
 
 
 def write_warc(pages: DataFrame, out_dir: str, max_file_bytes: int = 64 << 20, shard_bytes: int = 256 << 20, per_shard: int = 30, level: int = 6, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
@@ -74,15 +81,24 @@ def write_warc(pages: DataFrame, out_dir: str, max_file_bytes: int = 64 << 20, s
     its records go to files shard-NNNNNN-NNNNN.warc.gz, a gzip member each; a file is closed when the next record
     would bring it over max_file_bytes compressed (one record is never split). So names and bytes are the same on
     every run, however many tasks there are or fail. A task writes to names of its own below _temporary; when all have
-    ended, the files of those that ended well are renamed, and manifest.json (files with sizes, counts and SHA-256 of
-    their record digests) is put in place last, by renaming: without it the output isn't complete. The sample that
-    gives the ranges is per_shard keys a shard.
+    ended, the files of those that ended well are renamed by tasks, and manifest.json (files with sizes, counts and SHA-256 of
+    their record digests) is put in place last, by renaming: without it the output isn't complete. A folder that has an
+    older output loses its manifest first and its other files before the new manifest, so a reader never sees a manifest
+    that doesn't fit. The ranges come from a sample of per_shard keys a shard, which is sorted and summed up in Spark; the
+    driver gets one key a shard.
 
     Defined cases: a null url becomes urn:page:ID and sorts as ''; null html is an empty payload; a null page_id sorts
     last and is 'None' in the URN; of equal rows each is written, with ids of their own; extra columns are ignored; an
     empty table gives a manifest without files.
     """
     ship(pages.sparkSession)
+    system, root = file_system(out_dir)
+    system.create_dir(root, recursive=True)
+    for name in ("manifest.json", "_manifest.tmp"):
+        if system.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
+            system.delete_file(f"{root}/{name}")
+    if system.get_file_info(f"{root}/_temporary").type != pafs.FileType.NotFound:
+        system.delete_dir(f"{root}/_temporary")
     bounds = _boundaries(pages, shard_bytes, per_shard)
     shared = pages.sparkSession.sparkContext.broadcast(bounds)
 
@@ -125,9 +141,21 @@ def write_warc(pages: DataFrame, out_dir: str, max_file_bytes: int = 64 << 20, s
     index = cut(keyed.repartition("shard").sortWithinPartitions(*order).mapInArrow(write, _INDEX))
     files = index.groupBy("file", "temporary").agg(F.count(F.lit(1)).alias("records"), F.max(F.col("offset") + F.col("length")).alias("bytes"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("digests")).orderBy("file").collect()
     system, root = file_system(out_dir)
-    system.create_dir(root, recursive=True)
-    for r in files:
-        system.move(r["temporary"], f"{root}/{r['file']}")
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = file_system(out_dir)
+        for b in batches:
+            for f, temporary in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if own.get_file_info(temporary).type != pafs.FileType.NotFound:  # else an attempt before this one has moved it
+                    own.move(temporary, f"{at}/{f}")
+            yield b.select(["file"])
+
+    moves = pages.sparkSession.createDataFrame([(r["file"], r["temporary"]) for r in files], "file string, temporary string")
+    moves.repartition(max(1, min(len(files), 200))).mapInArrow(rename, "file string").count()
+    new = {r["file"] for r in files}
+    for f in system.get_file_info(pafs.FileSelector(root)):
+        if f.base_name.startswith("shard-") and f.base_name not in new:
+            system.delete_file(f.path)
     manifest = json.dumps([{"file": r["file"], "records": r["records"], "bytes": r["bytes"], "sha256_of_digests": r["digests"]} for r in files], indent=1)
     with system.open_output_stream(f"{root}/_manifest.tmp", compression=None) as f:
         f.write(manifest.encode())
