@@ -475,6 +475,45 @@ def test_topic_is_the_column_or_of_the_content(spark):
     assert not named["sea"] & named["bake"] and "(none)" not in named["sea"] | named["bake"]
 
 
+def test_the_sample_is_that_of_plain_rules(spark):
+    rng = random.Random(19)
+    rows = [(k, text_in("en", rng, rng.choice([5, 30])), rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for k in range(300)] + ODD
+    d = docs(spark, rows).withColumn("topic", F.concat(F.lit("t"), F.col("doc_id") % 3))
+    got = {(r["doc_id"], r["text"]): r["probability"] for r in mixing.mix(d, {"lang": {"en": 0.6, "de": 0.3}}, keep=0.5).select("row.doc_id", "row.text", "probability").collect()}
+    cells, of = {}, {}
+    for i, t, g, s in rows:
+        n = len(re.findall(r"[^ \t\n\x0b\f\r]+", t or ""))
+        c = (s or "(none)", g or "(none)", "(none)" if i is None else f"t{i % 3}")
+        of[(i, t)] = (c, n)
+        cells[c] = cells.get(c, 0) + n
+    cells = {k: float(v) for k, v in cells.items() if v}
+    by = lambda a: Counter({x: sum(v for k, v in cells.items() if k[a] == x) for x in {k[a] for k in cells}})
+    w = mixing.rake(cells, [mixing.tempered(by(0), 0.7), {"en": 0.6, "de": 0.3}, mixing.tempered(by(2), 0.7)], 0.5 * sum(cells.values()))
+    u = {(r["doc_id"], r["text"]): (r["h"] % (1 << 53)) / (1 << 53) for r in d.select("doc_id", "text", F.xxhash64(F.lit(11), "doc_id", "text").alias("h")).collect()}
+    want = {k: w[c] / cells[c] for k, (c, n) in of.items() if n and u[k] < w[c] / cells[c]}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_topics_of_features_are_those_of_texts(spark):
+    rng = random.Random(20)
+    texts = pa.array([text_in(g, rng, 9) for g in WORDS for _ in range(6)] + ["", None], pa.string())
+    f = mixing._features.func(texts)
+    seen = np.bincount(mixing._flat(f)[1], minlength=1 << mixing.BITS)
+    m = mixing.Topics.start([x.as_py() for x in f if x.as_py()], seen, len(texts), 4)
+    assert m.assign(texts).to_pylist() == m.assign_features(f).to_pylist() and m.assign(texts).to_pylist()[-2:] == [None, None]
+    (b,) = list(m.sums(iter([pa.RecordBatch.from_arrays([f], ["features"])])))
+    own, total = m.assign_features(f).to_pylist(), np.zeros((m.centres.shape[1], 1 << mixing.BITS))
+    for k, t in enumerate(own):
+        if t:
+            x = np.zeros(1 << mixing.BITS)
+            x[np.frombuffer(f[k].as_py(), dtype=np.uint16)] = 1
+            x *= m.rarity
+            total[int(t[1:])] += x / np.linalg.norm(x)
+    got = np.zeros_like(total)
+    got[b.column(0).to_numpy(), b.column(1).to_numpy()] = b.column(2).to_numpy()
+    assert np.allclose(got, total, atol=1e-5)
+
+
 # --- 7: hosts
 def test_host_scores_are_those_of_power_iteration(spark):
     pages = [(1, "http://good.org/a", '<a href="http://mid.com/x">m</a>'), (2, "https://mid.com/", "<A HREF='//leaf.net/'>l</A><a href=/own>o</a>"), (3, "http://shady.com/", '<a href="http://casino-win.com/">c</a> <a href="http://casino-win.com/2">c</a>'), (4, "http://blog.far.shady.com:80/q?x", ""), (5, "not a url", "x"), (6, None, None), (7, "http://leaf.net.", None), (3, "http://shady.com/", '<a href="http://casino-win.com/">c</a>'), (8, "http://user@MID.com", '<a href="http://good.org/">')]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,58 +37,122 @@ class Topics:
             yield w.d0 + (key >> BITS), key & ((1 << BITS) - 1)
 
     @classmethod
-    def fit(cls, texts: list[str], topics: int = 16, rounds: int = 20) -> "Topics":
-        """Words in most texts weigh next to nothing, so what all texts of a language share doesn't make a cluster."""
-        pairs = list(cls.features(pa.array(texts, pa.string())))
-        x = np.zeros((len(texts), 1 << BITS), dtype=np.float32)
-        for doc, f in pairs:
-            x[doc, f] = 1
-        x = x[x.any(axis=1)]
+    def start(cls, rows: list[bytes], seen: np.ndarray, n: int, topics: int) -> "Topics":
+        """Centres to start from: texts (their features) far from each other. seen: in how many of all n texts each feature is.
+
+        Words in most texts weigh next to nothing, so what all texts of a language share doesn't make a cluster.
+        """
+        rarity = (np.log((n + 1) / np.maximum(seen, 1)) ** 2).astype(np.float32)
+        x = np.zeros((len(rows), 1 << BITS), dtype=np.float32)
+        for k, row in enumerate(rows):
+            x[k, np.frombuffer(row, dtype=np.uint16)] = 1
+        x = x[x.any(axis=1)] * rarity
+        x = x[np.linalg.norm(x, axis=1) > 0]
         if not len(x):
-            return cls(np.zeros(1 << BITS, dtype=np.float32), np.zeros((1 << BITS, 0), dtype=np.float32))
-        rarity = (np.log((len(x) + 1) / np.maximum(x.sum(axis=0), 1)) ** 2).astype(np.float32)
-        x *= rarity
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            return cls(rarity, np.zeros((1 << BITS, 0), dtype=np.float32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
         near, first = x @ x[0], [0]
         while len(first) < min(topics, len(x)) and near.min() < 0.999:  # each start is the text farthest from those before
             first.append(int(near.argmin()))
             near = np.maximum(near, x @ x[first[-1]])
-        c, own = x[first], None
-        for _ in range(rounds):
-            last, own = own, (x @ c.T).argmax(axis=1)
-            if last is not None and (own == last).all():
-                break
-            for k in range(len(c)):
-                if (own == k).any():
-                    mean = x[own == k].mean(axis=0)
-                    c[k] = mean / max(float(np.linalg.norm(mean)), 1e-9)
-        return cls(rarity, np.ascontiguousarray(c.T))
+        return cls(rarity, np.ascontiguousarray(x[first].T))
+
+    def nearest(self, doc: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, the nearest topic of each); doc is in order."""
+        if not len(doc) or not self.centres.shape[1]:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        return doc[at], np.add.reduceat(self.centres[f] * self.rarity[f, None], at, axis=0).argmax(axis=1)
+
+    def sums(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of all batches' texts (column features), the sum of the unit vectors of each topic, by topic and feature."""
+        total = np.zeros((self.centres.shape[1], 1 << BITS))
+        for b in batches:
+            doc, f = _flat(b.column(b.schema.get_field_index("features")))
+            which, topic = self.nearest(doc, f)
+            if len(which):
+                place = np.searchsorted(which, doc)
+                norm = np.sqrt(np.bincount(place, weights=self.rarity[f].astype(np.float64) ** 2))
+                np.add.at(total, (topic[place], f), self.rarity[f] / np.maximum(norm[place], 1e-9))
+        t, f = np.nonzero(total)
+        if len(t):
+            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(total[t, f])], ["topic", "f", "s"])
 
     def assign(self, texts: pa.Array) -> pa.Array:
         """The name of the nearest topic of each text; null for a text without a word."""
         out = np.full(len(texts), -1)
         for doc, f in self.features(texts):
-            if len(doc) and self.centres.shape[1]:
-                at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                out[doc[at]] = np.add.reduceat(self.centres[f] * self.rarity[f, None], at, axis=0).argmax(axis=1)
-        return pa.array([f"t{k:02d}" if k >= 0 else None for k in out.tolist()], pa.string())
+            which, topic = self.nearest(doc, f)
+            out[which] = topic
+        return self.named(out)
 
+    def assign_features(self, rows: pa.Array) -> pa.Array:
+        """As assign, of texts whose features are known."""
+        out = np.full(len(rows), -1)
+        which, topic = self.nearest(*_flat(rows))
+        out[which] = topic
+        return self.named(out)
+
+    @staticmethod
+    def named(topic: np.ndarray) -> pa.Array:
+        return pa.array([f"t{k:02d}" if k >= 0 else None for k in topic.tolist()], pa.string())
+
+
+def _flat(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) of an array of binary rows of 16-bit features."""
+    rows = pc.fill_null(rows.cast(pa.large_binary()), b"")
+    _, offsets, data = rows.buffers()
+    offs = np.frombuffer(offsets, dtype=np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    f = np.frombuffer(data, dtype=np.uint16)[offs[0] // 2 : offs[-1] // 2] if data is not None and offs[-1] > offs[0] else np.zeros(0, dtype=np.uint16)
+    return np.repeat(np.arange(len(rows)), np.diff(offs) // 2), f.astype(np.int64)
 
-def topic_of(docs: DataFrame, sample: int = 2000) -> Column:
-    """The topic of a text: docs' column topic if it has one, else its nearest cluster; clusters are those of the texts whose hash is least."""
-    if "topic" in docs.columns:
-        return F.col("topic").cast("string")
-    order = F.pmod(F.xxhash64("t", F.lit(41)), F.lit(1 << 40))
-    texts = docs.select(F.col("text").alias("t")).filter(F.col("t").isNotNull())
-    least = int(min(1.0, (2.0 * sample + 50) / max(1, texts.count())) * (1 << 40))  # else each partition would send its own least
-    rows = texts.filter(order <= least).orderBy(order, "t").limit(sample).collect()
-    shared = docs.sparkSession.sparkContext.broadcast(Topics.fit([r["t"] for r in rows]))
 
-    @F.arrow_udf(T.StringType())
-    def run(texts: pa.Array) -> pa.Array:
-        return shared.value.assign(texts)
+@F.arrow_udf(T.BinaryType())
+def _features(texts: pa.Array) -> pa.Array:
+    """Each text's distinct hashed words, 2 bytes each, in order."""
+    doc, f = [], []
+    for d, x in Topics.features(texts):
+        doc.append(d)
+        f.append(x)
+    doc, f = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (doc, f))
+    offs = np.searchsorted(doc, np.arange(len(texts) + 1)) * 2
+    return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(f.astype(np.uint16).tobytes())]).cast(pa.binary())
 
-    return run.asNondeterministic()(F.col("text"))  # else filters below it would run it once more
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each feature is; at -1 the number of texts."""
+    seen, n = np.zeros(1 << BITS, dtype=np.int64), 0
+    for b in batches:
+        seen += np.bincount(_flat(b.column(0))[1], minlength=1 << BITS)
+        n += b.num_rows
+    f = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, f].astype(np.int32)), pa.array(np.r_[n, seen[f]])], ["f", "n"])
+
+
+def fit_topics(rows: DataFrame, topics: int = 16, sample: int = 2000, rounds: int = 3) -> Topics:
+    """Clusters of all rows (column features) by spherical k-means: rarity, and the means of each round, are over all texts.
+
+    Only the texts to start from are of a sample bounded in number, those whose features' hash is least.
+    """
+    counts = {r[0]: r[1] for r in rows.select("features").mapInArrow(_seen, "f int, n long").groupBy("f").agg(F.sum("n")).collect()}
+    n = counts.pop(-1, 0)
+    seen = np.zeros(1 << BITS, dtype=np.int64)
+    seen[list(counts)] = list(counts.values())
+    order = F.pmod(F.xxhash64("features", F.lit(41)), F.lit(1 << 40))
+    least = int(min(1.0, (2.0 * sample + 50) / max(1, n)) * (1 << 40))  # else each partition would send its own least
+    first = rows.select("features").filter((F.octet_length("features") > 0) & (order <= least)).orderBy(order, "features").limit(sample).collect()
+    model = Topics.start([bytes(r[0]) for r in first], seen, n, topics)
+    for _ in range(rounds if model.centres.shape[1] else 0):
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+        sums = rows.select("features").mapInArrow(lambda b, m=shared: m.value.sums(b), "topic int, f int, s double").groupBy("topic", "f").agg(F.sum("s").alias("s")).toArrow()
+        c = model.centres.T.astype(np.float64).copy()
+        t = sums.column("topic").to_numpy()
+        new = np.zeros_like(c)
+        new[t, sums.column("f").to_numpy()] = np.round(sums.column("s").to_numpy(), 6)  # sums come in any order
+        norm = np.linalg.norm(new, axis=1, keepdims=True)
+        c = np.where(norm > 0, new / np.maximum(norm, 1e-9), c)
+        model = Topics(model.rarity, np.ascontiguousarray(np.round(c, 6).T.astype(np.float32)))
+    return model
 
 
 def tempered(totals: dict[str, float], power: float) -> dict[str, float]:
@@ -197,8 +262,8 @@ def rake_table(cells: DataFrame, wants: list[DataFrame], budget: float, rounds:
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, power: float = 0.7, keep: float = 0.7, max_categories: int = 1000, seed: int = 11) -> DataFrame:
     """The sampled rows of docs packed as ``row``, with topic, n_tokens and probability.
 
-    The topic is ``topic``, else docs' column of that name, else a cluster of vocabulary that every document is assigned
-    to (fitted on a sample bounded in number). Tokens (runs of non-blanks) are counted over all documents by cell of source, language and topic. ``targets`` may
+    The topic is ``topic``, else docs' column of that name, else a cluster of vocabulary, fitted over all documents, that
+    every document is assigned to. Tokens (runs of non-blanks) are counted over all documents by cell of source, language and topic. ``targets`` may
     give shares of any axis; an axis without is tempered from its own totals. Cells are raked to the marginals at a
     budget of ``keep`` of all tokens, and a document stays if a uniform hash of seed, doc_id and text is below its
     cell's probability, kept over present tokens: no shuffle but that of the counts, the same sample on every run.
@@ -207,14 +272,32 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, top
 
     Defined cases: null source or language is the category '(none)'; a text without tokens, or null, weighs nothing and
     is left out; rows equal in doc_id and text stay or go together; extra columns are carried in ``row``; an empty
-    table gives an empty table.
+    table gives an empty table; an empty target list is none; of targets that come to more than 1 each counts by its share.
     """
     targets = targets or {}
     ship(docs.sparkSession)
     text = F.col("text")
-    topic = topic if topic is not None else topic_of(docs)
+    if topic is None and "topic" in docs.columns:
+        topic = F.col("topic").cast("string")
     axis = {"source": F.coalesce("source", F.lit(NONE)), "lang": F.coalesce("lang", F.lit(NONE)), "topic": F.coalesce("topic", F.lit(NONE))}
-    raw = cut(docs.select("source", "lang", topic.alias("topic"), count_words(text).alias("n")).select(*[axis[a].alias(a) for a in AXES], "n").groupBy(*AXES).agg(F.sum("n").alias("n")))
+    if topic is None:
+        # Texts are read once for this: what follows goes over their features, 2 bytes a distinct word, in the shared folder.
+        rows = cut(docs.select("source", "lang", count_words(text).alias("n"), _features(text).alias("features")))
+        shared = docs.sparkSession.sparkContext.broadcast(fit_topics(rows))
+
+        @F.arrow_udf(T.StringType())
+        def of_features(features: pa.Array) -> pa.Array:
+            return shared.value.assign_features(features)
+
+        @F.arrow_udf(T.StringType())
+        def of_text(texts: pa.Array) -> pa.Array:
+            return shared.value.assign(texts)
+
+        topic = of_text.asNondeterministic()(text)  # else filters below it would run it once more
+        counted = rows.select("source", "lang", of_features("features").alias("topic"), "n")
+    else:
+        counted = docs.select("source", "lang", topic.alias("topic"), count_words(text).alias("n"))
+    raw = cut(counted.select(*[axis[a].alias(a) for a in AXES], "n").groupBy(*AXES).agg(F.sum("n").alias("n")))
     raw = raw.filter("n > 0")
     n_cells, total = raw.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if n_cells <= 1000 * max_categories or not n_cells:
