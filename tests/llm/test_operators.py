@@ -498,7 +498,8 @@ def test_topics_of_features_are_those_of_texts(spark):
     rng = random.Random(20)
     texts = pa.array([text_in(g, rng, 9) for g in WORDS for _ in range(6)] + ["", None], pa.string())
     f = mixing._features.func(texts)
-    seen = np.bincount(mixing._flat(f)[1], minlength=1 << mixing.BITS)
+    seen = sum(np.bincount(x, minlength=1 << mixing.BITS) for _, x in mixing._flat(f, 20))
+    assert sum(len(x) for _, x in mixing._flat(f, 20)) == sum(len(x) for _, x in mixing._flat(f)) and max(len(x) for _, x in mixing._flat(f, 20)) <= 20
     m = mixing.Topics.start([x.as_py() for x in f if x.as_py()], seen, len(texts), 4)
     assert m.assign(texts).to_pylist() == m.assign_features(f).to_pylist() and m.assign(texts).to_pylist()[-2:] == [None, None]
     (b,) = list(m.sums(iter([pa.RecordBatch.from_arrays([f], ["features"])])))

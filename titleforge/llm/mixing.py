@@ -68,9 +68,8 @@ class Topics:
         """Of all batches' texts (column features), the sum of the unit vectors of each topic, by topic and feature."""
         total = np.zeros((self.centres.shape[1], 1 << BITS))
         for b in batches:
-            doc, f = _flat(b.column(b.schema.get_field_index("features")))
-            which, topic = self.nearest(doc, f)
-            if len(which):
+            for doc, f in _flat(b.column(b.schema.get_field_index("features"))):
+                which, topic = self.nearest(doc, f)
                 place = np.searchsorted(which, doc)
                 norm = np.sqrt(np.bincount(place, weights=self.rarity[f].astype(np.float64) ** 2))
                 np.add.at(total, (topic[place], f), self.rarity[f] / np.maximum(norm[place], 1e-9))
@@ -89,8 +88,9 @@ class Topics:
     def assign_features(self, rows: pa.Array) -> pa.Array:
         """As assign, of texts whose features are known."""
         out = np.full(len(rows), -1)
-        which, topic = self.nearest(*_flat(rows))
-        out[which] = topic
+        for doc, f in _flat(rows):
+            which, topic = self.nearest(doc, f)
+            out[which] = topic
         return self.named(out)
 
     @staticmethod
@@ -98,13 +98,18 @@ class Topics:
         return pa.array([f"t{k:02d}" if k >= 0 else None for k in topic.tolist()], pa.string())
 
 
-def _flat(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) of an array of binary rows of 16-bit features."""
+def _flat(rows: pa.Array, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, feature) of an array of binary rows of 16-bit features, about ``most`` features at a time, but whole documents."""
     rows = pc.fill_null(rows.cast(pa.large_binary()), b"")
     _, offsets, data = rows.buffers()
-    offs = np.frombuffer(offsets, dtype=np.int64)[rows.offset : rows.offset + len(rows) + 1]
-    f = np.frombuffer(data, dtype=np.uint16)[offs[0] // 2 : offs[-1] // 2] if data is not None and offs[-1] > offs[0] else np.zeros(0, dtype=np.uint16)
-    return np.repeat(np.arange(len(rows)), np.diff(offs) // 2), f.astype(np.int64)
+    offs = np.frombuffer(offsets, dtype=np.int64)[rows.offset : rows.offset + len(rows) + 1] // 2
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, side="right")) - 1)
+        if offs[hi] > offs[lo]:
+            f = np.frombuffer(data, dtype=np.uint16)[offs[lo] : offs[hi]]
+            yield np.repeat(np.arange(lo, hi), np.diff(offs[lo : hi + 1])), f.astype(np.int64)
+        lo = hi
 
 
 @F.arrow_udf(T.BinaryType())
@@ -123,7 +128,8 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many texts each feature is; at -1 the number of texts."""
     seen, n = np.zeros(1 << BITS, dtype=np.int64), 0
     for b in batches:
-        seen += np.bincount(_flat(b.column(0))[1], minlength=1 << BITS)
+        for _, f in _flat(b.column(0)):
+            seen += np.bincount(f, minlength=1 << BITS)
         n += b.num_rows
     f = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, f].astype(np.int32)), pa.array(np.r_[n, seen[f]])], ["f", "n"])
