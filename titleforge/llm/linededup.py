@@ -67,7 +67,7 @@ def _bitmap(container: bytes) -> np.ndarray:
 _PART = T.StructType([T.StructField("shard", T.LongType()), T.StructField("once", T.BinaryType()), T.StructField("twice", T.BinaryType())])
 _LINE = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("line", T.StringType())]))
 #: Bit positions that a task gathers before it sends them on.
-BUFFER = 3_000_000
+BUFFER = 1_000_000
 
 
 def twice_seen(texts: DataFrame, bits: int, k: int, block: int) -> DataFrame:

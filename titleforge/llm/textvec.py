@@ -1,6 +1,6 @@
 """Vectorised text features for Arrow batches: byte n-grams, word hashes, sums of feature weights per document.
 
-Everything works on the concatenated UTF-8 bytes of a batch, a chunk of about a megabyte at a time, so memory doesn't
+Everything works on the concatenated UTF-8 bytes of a batch, a chunk of about a quarter of a megabyte at a time, so memory doesn't
 depend on how long a document is, and no Python loop runs over characters or words.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _IS_WORD = np.zeros(256, dtype=bool)
