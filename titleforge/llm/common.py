@@ -36,9 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Rows of an Arrow batch, where the session has Spark's own default: texts may be long, and a batch is in memory on both sides.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python once a Spark context, so that jobs run wherever the driver imported it from."""
-    sc = spark.sparkContext
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, BATCH_ROWS)
     if getattr(sc, "_titleforge_llm", False):
         return
     package = Path(__file__).resolve().parent

@@ -177,11 +177,19 @@ def _edge_batches(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator
             e = np.concatenate(edges, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in e], _EDGE.names)
 
-    for batch in batches:
-        key = batch.column(0).to_numpy().astype(np.int64)
-        cols = [key, *(batch.column(k).to_numpy().view(np.uint64) for k in (1, 2))]
-        if not len(key):
-            continue
+    def gathered() -> Iterator[list[np.ndarray]]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(0).to_numpy().astype(np.int64), *(batch.column(k).to_numpy().view(np.uint64) for k in (1, 2))])
+            n += batch.num_rows
+            if n >= 20_000:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held, n = [], 0
+        if n:
+            yield [np.concatenate(x) for x in zip(*held)]
+
+    for cols in gathered():
+        key = cols[0]
         at = int(np.searchsorted(key, key[-1]))
         if at == 0 and wait and wait[-1][0][0] == key[0]:
             wait.append(cols)
