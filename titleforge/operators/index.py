@@ -79,6 +79,17 @@ class NameIndex:
         cls(docs, postings_of(docs), docs, n, float(avgdl or 0.0), ngram, size)._save_terms(path)
         return cls.load(spark, path)
 
+    @classmethod
+    def counted(cls, names: DataFrame, path: str, ngram: NgramType = NgramType.WINDOW, size: int = 3) -> "NameIndex":
+        """As build, with the counted grams saved, but no postings: for batches that go through all names (search.scan_names)."""
+        if size < 1:
+            raise ConfigError("the ngram size must be at least 1")
+        counted_names(names, ngram, size).write.mode("overwrite").parquet(f"{path}/docs")
+        docs = names.sparkSession.read.parquet(f"{path}/docs")
+        n, avgdl = docs.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
+        postings = postings_of(docs)
+        return cls(docs, postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n, float(avgdl or 0.0), ngram, size)
+
     def save(self, path: str) -> None:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         saved = self.postings.sparkSession.read.parquet(f"{path}/docs")

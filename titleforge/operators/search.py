@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from titleforge.functions import scan
 from titleforge.functions.analysis import counted, ngrams, normalize
-from titleforge.functions.scoring import Scorer, finish, term_score, term_weight
+from titleforge.functions.scoring import B, K1, Scorer, finish, term_score, term_weight
 from titleforge.functions.similarity import Similarity, similarity
 from titleforge.operators.index import NameIndex
 from titleforge.query import CANDIDATES, STOP_RATIO, Query
+from titleforge.sources.shared import place
 
 #: Rows of a batch's side up to which it is broadcast. Beyond it the join is left to the optimizer.
 MAX_BROADCAST = 500_000
@@ -94,6 +98,54 @@ def top(scored: DataFrame, size: Column, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= size)
 
 
+#: Scorers whose score of a name is a sum over terms that a bound can be given for.
+SCANNED = (Scorer.OKAPI_BM25, Scorer.QUERY_RATIO)
+
+
+def scans(scorer: Scorer, dedup: str, known: int | None) -> bool:
+    """Whether a batch goes through the blocks of the index (scan_names) and not through joins: if the number of its queries has no known bound."""
+    return known is None and dedup == "best" and scorer in SCANNED
+
+
+def write_blocks(index: NameIndex, path: str, filters: tuple[DataFrame, DataFrame | None] | None = None) -> None:
+    """The names of the index in blocks by ranges of ids (titleforge.functions.scan), with what filters ask of titles and ratings."""
+    extra = {"kind": "string", "start_year": "int", "end_year": "int", "votes": "long"}
+
+    def like(rows: DataFrame, variant: int) -> DataFrame:
+        none = F.array().cast("array<string>")
+        return rows.select("id", F.lit(variant).cast("long").alias("variant"), F.lit(0).alias("doc_len"), none.alias("terms"), none.cast("array<int>").alias("tfs"), *[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in extra.items()])
+
+    rows = index.docs.select("id", "variant", "doc_len", F.col("counts.term").alias("terms"), F.col("counts.tf").alias("tfs"), *[F.lit(None).cast(t).alias(c) for c, t in extra.items()])
+    if filters is not None:
+        titles, ratings = filters
+        rows = rows.unionByName(like(titles, -2))
+        if ratings is not None:
+            rows = rows.unionByName(like(ratings.select("id", "votes"), -1))
+    sorted_rows = rows.filter("id is not null").repartitionByRange(-(-max(1, index.n) // scan.BLOCK_NAMES), "id").sortWithinPartitions("id", "variant")
+    cloudpickle.register_pickle_by_value(scan)  # executors need not have this package
+    sorted_rows.mapInArrow(scan.make_blocks, scan.BLOCK).write.mode("overwrite").parquet(path)
+
+
+def scan_names(queries: DataFrame, index: NameIndex, scorer: Scorer, stop_ratio: float, filters: tuple[DataFrame, DataFrame | None] | None = None) -> DataFrame:
+    """(qid, id, score, rank): for each query (qid, name, size, and p_* to filter by) the best ``size`` titles by name, normalised.
+
+    Each task goes through all blocks of the index with its share of the queries, so neither names found nor scores are
+    shuffled. filters: titles and ratings; then only those of the best are returned that may pass the query's filters.
+    """
+    spark = queries.sparkSession
+    path = place(spark, "blocks", uuid.uuid4().hex)
+    write_blocks(index, path, filters)
+    counts = spark.read.parquet(path).select(F.explode(F.arrays_zip("terms", "dfs")).alias("t"))
+    index = replace(index, terms=counts.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.dfs").alias("df")))
+    terms = split_terms(query_terms(queries.select("name").distinct().select(F.col("name").alias("qid"), "name"), index), index, stop_ratio).filter("df > 0")
+    weight = F.col("qc") * term_weight(scorer, F.col("df"), index.n) if scorer is Scorer.OKAPI_BM25 else F.col("qc") / F.col("ql")
+    own = terms.groupBy(F.col("qid").alias("name")).agg(F.collect_list(F.struct("term", weight.cast("double").alias("weight"), "primary", "df")).alias("terms"))
+    # By a hash of its own, else the join's partitions are taken over and merged to a few.
+    batch = queries.join(own, "name").repartition(2 * spark.sparkContext.defaultParallelism, F.xxhash64("name")).sortWithinPartitions("name")
+    bm25 = (K1, B, index.avgdl) if scorer is Scorer.OKAPI_BM25 else None
+    return batch.mapInArrow(scan.searcher(path, bm25, filters is not None), "qid string, id string, score double, rank int")
+
+
 def search_names(queries: DataFrame, index: NameIndex, scorer: Scorer = Scorer.OKAPI_BM25, size: int = 30, stop_ratio: float = STOP_RATIO, dedup: str = "best", known: int | None = None) -> DataFrame:
     """(qid, id, score, rank): the best ``size`` titles for each query's name, normalised. known: the number of query terms, if a bound is known."""
     terms = split_terms(query_terms(queries, index), index, stop_ratio, known)
@@ -192,9 +244,14 @@ def search_by_name(catalog: Catalog, params: DataFrame, need: Need, scorer: Scor
     p = _prefixed(params)
     names = params.filter("name is not null").select("qid", "name", "size")
     depth = F.greatest(F.lit(CANDIDATES), F.col("p_size"))
-    terms = split_terms(query_terms(names, catalog.index), catalog.index, stop_ratio, None if known is None else known * 256)
-    found = best_names(score_names(terms, catalog.index, scorer, None if known is None else known * 256), dedup)
-    cut = normalized(top(found.join(small(p.select("qid", "p_size"), known), "qid"), depth)).select("qid", "id", F.col("score").alias("name_score"))
+    if scans(scorer, dedup, known):
+        asked = ["p_kinds"] * need.kinds + ["p_year_lo", "p_year_hi"] * need.year + ["p_votes_lo", "p_votes_hi"] * need.votes
+        batch = p.filter("p_name is not null").select("qid", F.col("p_name").alias("name"), depth.alias("size"), *asked)
+        cut = scan_names(batch, catalog.index, scorer, stop_ratio, (catalog.titles, catalog.ratings if need.votes else None)).select("qid", "id", F.col("score").alias("name_score"))
+    else:
+        terms = split_terms(query_terms(names, catalog.index), catalog.index, stop_ratio, None if known is None else known * 256)
+        found = best_names(score_names(terms, catalog.index, scorer, None if known is None else known * 256), dedup)
+        cut = normalized(top(found.join(small(p.select("qid", "p_size"), known), "qid"), depth)).select("qid", "id", F.col("score").alias("name_score"))
     found = catalog.titles.join(small(cut, None if known is None else known * CANDIDATES), "id").join(small(p, known), "qid")
     found = catalog.matching(found, need)
     if rescore is not None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,12 @@ def saved_index(spark: SparkSession, sf_dir: str, ngram: NgramType = NgramType.W
     return NameIndex.load(spark, saved[key])
 
 
+def whole_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """A catalog for batches that go through all names: its index has no postings."""
+    index = NameIndex.counted(title_names(titles(spark, sf_dir), akas(spark, sf_dir)), place(spark, "counted", sf_dir, uuid.uuid4().hex))
+    return replace(catalog(spark, sf_dir, indexed=False), index=index)
+
+
 def catalog(spark: SparkSession, sf_dir: str, indexed: bool = True, ngram: NgramType = NgramType.WINDOW, size: int = 3, include_adult: bool = False) -> Catalog:
     index = saved_index(spark, sf_dir, ngram, size, include_adult) if indexed else None
     return Catalog(titles(spark, sf_dir), index, akas(spark, sf_dir), episodes(spark, sf_dir), ratings(spark, sf_dir), include_adult)
