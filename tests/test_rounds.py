@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from titleforge.functions import scan
+from titleforge.functions.scoring import Scorer
+from titleforge.operators.search import search_names
 from titleforge.plans import queries as Q
 
 
@@ -54,3 +56,22 @@ def test_links_scan_blocks(spark, tmp_path, monkeypatch, name):
     folder = grown(spark, tmp_path)
     assert "MapInArrow" in plan(Q._linked(spark, str(folder)))  # no join of all queries with all postings
     same_as_sql(spark, name, folder)
+
+
+@pytest.mark.parametrize("name", ["eval_answer_ranks", "eval_mrr"])
+def test_evaluation_scans_blocks(spark, tmp_path, monkeypatch, name):
+    small_blocks(monkeypatch)
+    folder = grown(spark, tmp_path)
+    assert "MapInArrow" in plan(Q._eval_ranks(spark, str(folder)))
+    same_as_sql(spark, name, folder)
+
+
+@pytest.mark.parametrize("scorer", [Scorer.OKAPI_BM25, Scorer.QUERY_RATIO])
+def test_scan_is_the_plan_of_joins(spark, tmp_path, monkeypatch, scorer):
+    small_blocks(monkeypatch)
+    folder = str(grown(spark, tmp_path))
+    queries = [("a", "hazel larch"), ("b", "hazel larch"), ("c", "rowan xyz"), ("d", ""), ("e", None), ("f", "zzzz"), ("g", "aspen aspen aspen willow birch")]
+    names, index = spark.createDataFrame(queries, "qid string, name string"), Q.catalog(spark, folder).index
+    for stop in (0.01, 0.2):
+        got, want = (search_names(names, index, scorer, 40, stop, known=k).selectExpr("qid", "id", "rank", "round(score, 9) score").toPandas() for k in (None, 99))
+        assert len(want) and rows(got) == rows(want)

@@ -148,6 +148,8 @@ def scan_names(queries: DataFrame, index: NameIndex, scorer: Scorer, stop_ratio:
 
 def search_names(queries: DataFrame, index: NameIndex, scorer: Scorer = Scorer.OKAPI_BM25, size: int = 30, stop_ratio: float = STOP_RATIO, dedup: str = "best", known: int | None = None) -> DataFrame:
     """(qid, id, score, rank): the best ``size`` titles for each query's name, normalised. known: the number of query terms, if a bound is known."""
+    if scans(scorer, dedup, known):
+        return scan_names(queries.filter("name is not null").select("qid", "name", F.lit(size).alias("size")), index, scorer, stop_ratio)
     terms = split_terms(query_terms(queries, index), index, stop_ratio, known)
     found = best_names(score_names(terms, index, scorer, known), dedup)
     return normalized(top(found, F.lit(size)))
