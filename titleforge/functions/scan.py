@@ -133,8 +133,8 @@ class Block:
             values = np.concatenate([self.share[s] * w for s, w in zip(spans, weights.tolist())])
         return np.bincount(names, values, minlength=self.size)
 
-    def look_up(self, code: int, of: np.ndarray) -> np.ndarray:
-        """A term's shares of some names, which are in order."""
+    def look_up(self, code: int, of: np.ndarray, weight: float, length: np.ndarray | None) -> np.ndarray:
+        """A term's shares of some names, which are in order and have these lengths."""
         a, e = self.starts[code], self.starts[code + 1]
         row = self.dense.get(code)
         if row is None and (e - a) * 200 >= self.size:  # frequent: a byte a name, kept for other queries
@@ -145,9 +145,11 @@ class Block:
         else:
             at = np.minimum(np.searchsorted(self.names[a:e], of), e - a - 1)
             tf = np.where(self.names[a:e][at] == of, self.tfs[a:e][at], 0)
-        if self.bm25 is None:
-            return (tf > 0).astype(np.float64)
-        return tf * (self.bm25[0] + 1) / (tf + self.length[of])
+        if length is None:
+            return (tf > 0) * weight
+        share = tf * (weight * (self.bm25[0] + 1))
+        share /= tf + length
+        return share
 
 
 class Best:
@@ -196,13 +198,16 @@ def search_block(block: Block, base: int, codes: np.ndarray, weights: np.ndarray
         else:
             rest = rest[np.argsort(-most[rest], kind="stable")]
             left = np.concatenate([np.cumsum(most[rest][::-1])[::-1], [0.0]])
+            length = None if block.bm25 is None else block.length[found]
             for k, i in enumerate(rest.tolist()):
-                score = score + weights[i] * block.look_up(int(codes[i]), found)
+                score += block.look_up(int(codes[i]), found, float(weights[i]), length)
                 if np.isfinite(least) and k % 2 == 1:
                     ok = score >= least - left[k + 1]
-                    found, score = found[ok], score[ok]
-                    if not len(found):
+                    n = np.count_nonzero(ok)
+                    if not n:
                         return
+                    if n < 0.8 * len(found):
+                        found, score, length = found[ok], score[ok], None if length is None else length[ok]
     ok = score >= least
     found, score = found[ok], score[ok]
     if not len(found):
